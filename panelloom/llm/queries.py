@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from panelloom.llm.common import Workspace, table
 
 
+def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from panelloom.llm.tokens import token_table
+
+    return token_table(table(spark, sf_dir, "documents"), Workspace(spark, "op1"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.simhash import near_duplicates
 
@@ -16,7 +24,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup,)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
