@@ -23,8 +23,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
 
 
+def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from panelloom.llm.pieces import piece_table
+
+    return piece_table(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op8_unigram_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
