@@ -23,6 +23,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.matroska import media_column
+
+    return media_column(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
+
+
 def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +38,7 @@ def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op8_unigram_pieces)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
