@@ -37,8 +37,14 @@ def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces, op10_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
