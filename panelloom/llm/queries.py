@@ -37,6 +37,12 @@ def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.langid import identify
 
@@ -44,7 +50,7 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces, op10_cross_parsing)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
