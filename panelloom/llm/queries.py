@@ -23,6 +23,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
 
 
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.matroska import media_column
 
@@ -50,7 +56,7 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op5_matroska, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op4_bradley_terry, op5_matroska, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
