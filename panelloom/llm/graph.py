@@ -55,18 +55,17 @@ def _local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, space: Workspace, name: str = "cc", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``links`` (two long columns), root the
+    """(node, root) for every linked node of ``links`` (two long columns), root the
     smallest node that can be reached.
 
     Each round is a large-star and a small-star step (alternated as published by
     Kiveris et al., 2014), both a partial minimum and an equi-join on nodes; a
     hub is a hot join key, which AQE splits. Before each round, links of a
     partition shrink to stars. Rounds end when the star graph stays the same.
-    Nulls in ``links`` are ignored; a node linked to itself only is its own root.
+    Nulls in ``links`` are ignored; a node linked to itself only is left out.
     """
     u, v = links.columns[:2]
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
-    loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     edges = space.write(edges.where("u <> v").mapInArrow(_local, "u long, v long").distinct(), f"{name}-0")
     last = None
     for k in range(1, rounds + 1):
@@ -87,4 +86,4 @@ def components(links: DataFrame, space: Workspace, name: str = "cc", rounds: int
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = stars.select(F.col("root").alias("node"), "root").distinct()
-    return stars.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+    return stars.unionByName(roots)

@@ -23,6 +23,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.lines import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, Workspace(spark, "op3")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.quality import score_quality
 
@@ -62,7 +69,7 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
