@@ -48,6 +48,12 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op6"))
 
 
+def op7_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), Workspace(spark, "op7"))
+
+
 def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +75,7 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
 
 
 def oracle_sql() -> dict[str, str]:
