@@ -209,3 +209,16 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, keep: tuple
     held = F.coalesce(id_hash_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("_text"), *keep)
     return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {types[c]}" for c in keep))
+
+
+def of_known_language(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
+    """The rows of docs whose language is determined, with all their columns as they are."""
+    samples = training_samples(docs) if samples is None else samples
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(samples)
+        for batch in batches:
+            yield batch.filter(pa.array([x != UNDETERMINED for x, _ in parser.predict(batch.column(at).to_pylist())], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Workspace, spread
+from panelloom.llm.common import Workspace, small_side, spread
 from panelloom.llm.graph import components, forest
 
 SEED = 42
@@ -179,3 +179,20 @@ def near_duplicates(docs: DataFrame, space: Workspace, width: int = SHINGLE_WORD
     label = merged.join(least, "root").select("fp", "component_id")
     # A fingerprint that a third of all rows share is a hot key here; the inner join of narrow rows is one that AQE splits.
     return signed.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
+    """One row of each group of near-duplicates, all columns kept: the one with the smallest doc_id.
+
+    Rows that share that id count as one document, of which the smallest row stays.
+    Rows without an id stay only where no row of their group has one."""
+    marked = space.write(near_duplicates(docs.select("doc_id", "text"), space), "marked")
+    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "gone"))
+    # A null id is in a group of its own kind or not: its rows go only if all of them have to.
+    lone = marked.where("doc_id is null and component_id is null").isEmpty()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) if lone else F.col("doc_id") == F.col("_id")
+    kept = docs.join(gone, same, "left_anti")
+    if marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("r")).select("r.*")
+    return named.unionByName(kept.where("doc_id is null"))
