@@ -34,8 +34,12 @@ CACHE_WORDS = 300_000
 MAGIC = b"BPT1"
 
 # Characters of texts that may be encoded word by word: printable ASCII, plain white
-# space, Latin-1 and Latin Extended, all of them equal to their NFC form.
-_OTHER = re.compile("[^\t\n\r -~¡-įı-ȳ]")
+# space, Latin-1 and Latin Extended-A, all of them equal to their NFC form.
+_OTHER = re.compile("[^\t\n\r -~¡-įı-ſ]")
+# The tokenizer's own pattern for what is one word to the merges (a fixed value), for those characters.
+_LETTER = "".join(c for c in map(chr, range(0x180)) if c.isalpha())
+_NUMBER = "".join(c for c in map(chr, range(0x180)) if c.isnumeric())
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+").findall
 
 
 def pack_ids(ids: np.ndarray, block: int = BLOCK_IDS, planes: str = "bit", level: int = 3) -> bytes:
@@ -76,41 +80,49 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, each new word once.
+def _byte_letters() -> list[str]:
+    """Letters that byte-level vocabularies write bytes with: printable ones stand for
+    themselves, the others for 256 and on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+class WordEncoder(dict):
+    """Ids of whole texts by the tokenizers library; maps a white-space separated
+    word to its ids and asks the library's model for new ones only.
 
     The tokenizer drops white space and its pieces never span it, so the ids of a
-    text are those of its white-space separated words. That holds for texts of the
-    plain characters above; any other text goes to the library whole."""
+    text are those of its words. That holds for texts of the plain characters above,
+    which the normaliser only lower-cases; any other text goes to the library whole."""
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
+        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.limit = cache
-        self.known: dict[str, bytes] = {}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null counts as empty."""
-        out: list[bytes] = []
-        for text in texts:
-            text = text or ""
-            if _OTHER.search(text):
-                out += self._batch([text])
-                continue
-            words = text.lower().split()
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > self.limit:
-                    self.known = {}
-                    new = list(set(words))
-                self.known.update(zip(new, self._batch(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids: list[int] = []
+        for part in _PARTS(word):
+            if not part.isascii():
+                part = "".join(self.letters[b] for b in part.encode())
+            ids += [t.id for t in self.model.tokenize(part)]
+        if len(self) >= self.limit:
+            self.clear()
+        raw = self[word] = np.array(ids, dtype=self.dtype).tobytes()
+        return raw
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian ids (of ``dtype``) of a text; null counts as empty."""
+        text = text or ""
+        if _OTHER.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -131,14 +143,15 @@ def write_token_files(docs: DataFrame, space: Workspace, tokenizer: str, end_id:
     bounds, shards = _bounds(rows, per_shard)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
+        end = np.array([end_id], enc.dtype).tobytes()
+        width = bytes([int(enc.dtype[-1])])
         cuts = np.array(bounds, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [x + end for x in enc.encode(texts)]
+            ids = pa.array([width + enc.encode(t.as_py()) + end for t in batch.column(1)], pa.binary())
             doc = batch.column(0)
             at = np.searchsorted(cuts, doc.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(at), pa.array(list(map(_narrow, ids)), pa.binary())], ["doc_id", "shard", "ids"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(at), ids], ["doc_id", "shard", "ids"])
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, docs_, size, first, seg = -1, [], [], 0, 0, 0
@@ -170,14 +183,9 @@ def write_token_files(docs: DataFrame, space: Workspace, tokenizer: str, end_id:
 _SEGMENT = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64())]))), ("payload", pa.binary())])
 
 
-def _narrow(raw: bytes) -> bytes:
-    """Ids under 65,536 travel as 16 bits; a first byte tells."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if int(ids.max(initial=0)) < 1 << 16 else b"\x04" + raw
-
-
 def _widen(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], "<u2" if raw[0] == 2 else "<u4").astype("<u4")
+    """Ids of a document on their way: the first byte is their width in bytes."""
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype("<u4")
 
 
 def _bounds(rows: DataFrame, per_shard: int) -> tuple[list[int], int]:
