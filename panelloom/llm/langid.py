@@ -177,7 +177,7 @@ def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
     """Labelled text of each language outside the held-out fold, at most
     ``sample_docs`` documents (lowest hash of doc_id) and ``sample_chars`` characters."""
     each = max(1, 2 * sample_chars // max(1, sample_docs))
-    able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash_mod("doc_id", FOLDS) != HELD_OUT))
+    able = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash_mod("doc_id", FOLDS) != HELD_OUT))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = able.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
     chosen = small_side(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "k"))

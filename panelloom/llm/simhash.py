@@ -187,10 +187,10 @@ def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
     Rows that share that id count as one document, of which the smallest row stays.
     Rows without an id stay only where no row of their group has one."""
     marked = space.write(near_duplicates(docs.select("doc_id", "text"), space), "marked")
-    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "gone"))
+    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct(), "gone"))
     # A null id is in a group of its own kind or not: its rows go only if all of them have to.
     lone = marked.where("doc_id is null and component_id is null").isEmpty()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) if lone else F.col("doc_id") == F.col("_id")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) if lone else F.col("doc_id") == F.col("__id")
     kept = docs.join(gone, same, "left_anti")
     if marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
