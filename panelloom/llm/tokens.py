@@ -29,6 +29,8 @@ BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 18
 #: Documents aimed at for one shard, that is one task and one file.
 SHARD_DOCS = 20_000
+#: More documents make larger shards beyond this many (their bounds are literals of the plan).
+MAX_SHARDS = 20_000
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 MAGIC = b"BPT1"
@@ -190,7 +192,7 @@ def _widen(raw: bytes) -> np.ndarray:
 
 def _bounds(rows: DataFrame, per_shard: int) -> tuple[list[int], int]:
     """Quantiles of doc_id that part the shards (one number for each task to come)."""
-    shards = max(1, -(-rows.select("doc_id").count() // per_shard))
+    shards = min(MAX_SHARDS, max(1, -(-rows.select("doc_id").count() // per_shard)))
     if shards == 1:
         return [], 1
     cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or []
