@@ -65,6 +65,18 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """Tables and word caches of a Python worker: kept from task to task, but of one
+    operator at a time, as Spark uses a worker again for the next operator."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted rows stay under the limit; else the join shuffles."""
     return F.broadcast(df) if df.count() <= limit else df

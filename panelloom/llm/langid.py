@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import id_hash_mod, small_side, spread
+from panelloom.llm.common import held, id_hash_mod, small_side, spread
 
 FOLDS, HELD_OUT = 4, 2
 #: The automata are fitted on at most this many documents and characters of each language.
@@ -162,15 +162,8 @@ class CrossParser:
         return out
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
+    return held(f"langid-{hash(tuple(sorted(samples.items())))}", lambda: CrossParser(samples))
 
 
 def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Workspace, spread
+from panelloom.llm.common import Workspace, held, spread
 
 END_ID = 1
 BLOCK_IDS = 1 << 14
@@ -127,13 +127,8 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(f"tokens-{path}", lambda: WordEncoder(path))
 
 
 def write_token_files(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = END_ID, per_shard: int = SHARD_DOCS, name: str = "tokens", planes: str = "bit") -> DataFrame:
