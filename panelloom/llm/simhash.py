@@ -33,6 +33,30 @@ COUNT_ROWS = 1 << 16
 DENSE = 512
 
 
+_LANES = np.uint64(0x0101010101010101)
+#: Counters of a byte hold so many rows.
+LANE_ROWS = 255
+
+
+def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each run have each bit: (runs, 64), the highest bit first.
+
+    Eight bits of a hash at a time are spread over the bytes of a word, so that one
+    sum counts all eight; runs are summed in pieces that a byte can count."""
+    n = len(hashes)
+    sizes = np.diff(np.append(starts, n))
+    pieces = -(-sizes // LANE_ROWS)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    inside = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    cuts = np.repeat(starts, pieces) + inside * LANE_ROWS
+    out = np.empty((len(starts), 64), dtype=np.int64)
+    for shift in range(8):
+        summed = np.add.reduceat((hashes >> np.uint64(shift)) & _LANES, cuts)
+        lanes = summed.astype(">u8").view(np.uint8).reshape(-1, 8)
+        out[:, 7 - shift :: 8] = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+    return out
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bits set in over half of the 64-bit hashes."""
     n = len(hashes)

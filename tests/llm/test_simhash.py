@@ -86,3 +86,21 @@ def test_one_of_each(edge_docs, space_of):
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted(c for c in groups if c is not None and c in {c2 for c2 in ids})
     assert {c for c in groups if c is not None} >= set(ids) and len(ids) == len(set(ids))
+
+
+def test_bit_counts_of_long_runs():
+    dice = np.random.default_rng(0)
+    for n in (1, 254, 255, 256, 3000):
+        h = dice.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(3)
+        starts = np.unique(np.append(0, dice.integers(0, n, 4)))
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        assert np.array_equal(simhash.bit_counts(h, starts), np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
+
+
+def test_workers_hold_one_operators_tables():
+    from panelloom.llm import common
+
+    a = common.held("a", list)
+    assert common.held("a", list) is a
+    common.held("b", list)
+    assert common.held("a", list) is not a
