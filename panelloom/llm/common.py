@@ -53,10 +53,18 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch, so that a Python worker holds a few MB of usual texts at a time.
+BATCH_ROWS = 1000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out if the input has fewer splits than there are cores.
 
-    Large inputs have many splits and are left alone (no shuffle)."""
+    Large inputs have many splits and are left alone (no shuffle). Also keeps the
+    session's Arrow batches small, as texts are wide rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -25,6 +25,8 @@ FOLDS, HELD_OUT = 4, 2
 #: The automata are fitted on at most this many documents and characters of each language.
 SAMPLE_DOCS = 60
 SAMPLE_CHARS = 40_000
+#: Characters that are parsed at once; a longer text is parsed by itself.
+AT_ONCE = 2_000_000
 #: Lanes of the lockstep parse; a phrase is cut where a lane ends.
 LANE = 2048
 UNDETERMINED = "und"
@@ -120,7 +122,7 @@ class CrossParser:
             at += len(c)
         if not owner or not self.langs:
             return total
-        flat = np.concatenate(coded).astype(np.int64)
+        flat = np.concatenate(coded)
         order = np.argsort(-np.array(sizes), kind="stable")
         sizes_, starts_, owner_ = np.array(sizes)[order], np.array(starts)[order], np.array(owner)[order]
         root = np.array(self.roots, dtype=np.int64)[:, None]
@@ -130,7 +132,7 @@ class CrossParser:
         for t in range(int(sizes_[0])):
             while sizes_[live - 1] <= t:
                 live -= 1
-            c = flat[starts_[:live] + t]
+            c = flat[starts_[:live] + t].astype(np.int64)
             now = state[:, :live]
             to = self.table.take(now * self.width + c).astype(np.int64)
             row, col = np.nonzero(to == 0)
@@ -147,10 +149,25 @@ class CrossParser:
         return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        points = [code_points(t or "") for t in texts]
+        out: list[tuple[str, float]] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            if part and size + len(text or "") > AT_ONCE:
+                out += self._predict(part)
+                part, size = [], 0
+            part.append(text or "")
+            size += len(part[-1])
+        return out + self._predict(part)
+
+    def _predict(self, texts: list[str]) -> list[tuple[str, float]]:
         kinds = _kinds()
-        lettered = [bool(np.any(kinds[p] == 1)) for p in points]
-        cost = self.phrases([self.encode(p) for p in points]) * np.array(self.weight, dtype=float).reshape(-1, 1)
+        lettered, coded = [], []
+        for t in texts:
+            points = code_points(t)
+            lettered.append(bool(np.any(kinds[points] == 1)))
+            coded.append(self.encode(points))
+        cost = self.phrases(coded) * np.array(self.weight, dtype=float).reshape(-1, 1)
         out = []
         for k, ok in enumerate(lettered):
             if not ok or not self.langs:
