@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import spread
+from panelloom.llm.common import held, spread
 
 MARK = "▁"
 #: The penalty below the lowest score that an unknown character costs.
@@ -98,6 +98,8 @@ class DoubleArray:
             base.pop()
         pad = 258
         self.base, self.check = base + [0] * pad, check + [-1] * pad
+        #: The value of the key that ends in a slot, or -1: one look-up less for each step.
+        self.value = [-1 - self.base[b] if c >= 0 and self.check[b] == s and self.base[b] < 0 else -1 for s, (b, c) in enumerate(zip(base, check, strict=True))] + [-1] * pad
 
     def prefixes(self, data: bytes, at: int) -> Iterator[tuple[int, int]]:
         """(end, value) of every key that begins at the given byte, shortest first."""
@@ -139,8 +141,11 @@ class UnigramPieces:
         self.trie = DoubleArray(known)
         self.unk_score = min((s for _, s, k in pieces if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         # cuts in front of marker runs are exact only if no piece has a marker after another character
-        self.cuttable = not any(MARK in p.lstrip(MARK) for p, _, k in pieces if k in (NORMAL, USER))
-        self.limit, self.seen = cache, {}
+        usable = [p for p, _, k in pieces if k in (NORMAL, USER)]
+        self.cuttable = not any(MARK in p.lstrip(MARK) for p in usable) and bool(self.byte_id)
+        # a line feed that no piece has is always on its own
+        self.cut = (_CUT if any("\n" in p for p in usable) else _CUT_LINES).findall
+        self.limit, self.seen = cache, _Cuts(self)
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -153,24 +158,33 @@ class UnigramPieces:
         """Ids of the best sequence; the earlier found one wins a tie, that is the longer last piece."""
         data = cut.encode("utf-8", "replace")
         n = len(data)
-        best, back = [-1e300] * (n + 1), [(-1, -1)] * (n + 1)
+        base, check, value, scores, unk_score = self.trie.base, self.trie.check, self.trie.value, self.scores, self.unk_score
+        best, back, piece_of = [-1e300] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         at = 0
         while at < n:
             lead = data[at]
-            width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
-            score, single = best[at], False
-            for end, piece in self.trie.prefixes(data, at):
-                single |= end == at + width
-                if score + self.scores[piece] > best[end]:
-                    best[end], back[end] = score + self.scores[piece], (at, piece)
-            if not single and score + self.unk_score > best[at + width]:
-                best[at + width], back[at + width] = score + self.unk_score, (at, -1)
-            at += width
+            after = at + (1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4)
+            score, single, slot, end = best[at], False, 0, at
+            while end < n:  # down the trie along the text
+                to = base[slot] + data[end] + 1
+                if check[to] != slot:
+                    break
+                slot, end = to, end + 1
+                piece = value[slot]
+                if piece >= 0:
+                    new = score + scores[piece]
+                    if new > best[end]:
+                        best[end], back[end], piece_of[end] = new, at, piece
+                    if end == after:
+                        single = True
+            if not single and score + unk_score > best[after]:
+                best[after], back[after], piece_of[after] = score + unk_score, at, -1
+            at = after
         out: list[int] = []
         end, joined = n, False
         while end > 0:
-            at, piece = back[end]
+            at, piece = back[end], piece_of[end]
             if piece >= 0:
                 out.append(piece)
             elif self.byte_id:
@@ -184,18 +198,8 @@ class UnigramPieces:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
         text = self.normalise(text or "")
-        cuts = _CUT.findall(text) if self.cuttable else [text] * bool(text)
-        if len(cuts) > 1 and not self.byte_id:  # else a run of unknown characters could span a cut
-            cuts = [text]
-        seen = self.seen
-        new = [c for c in set(cuts) if c not in seen]
-        if new:
-            if len(seen) + len(new) > self.limit:
-                seen.clear()
-                new = set(cuts)
-            for c in new:
-                seen[c] = np.array(self.viterbi(c), dtype="<u4").tobytes()
-        return b"".join(map(seen.__getitem__, cuts))
+        cuts = self.cut(text) if self.cuttable else [text] * bool(text)  # without byte pieces a run of unknown characters could span a cut
+        return b"".join(map(self.seen.__getitem__, cuts))
 
     def decode(self, ids: bytes | list[int]) -> str:
         """Text of the ids: markers to spaces, byte pieces to their bytes, the dummy marker dropped."""
@@ -207,16 +211,29 @@ class UnigramPieces:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
-_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_MODELS: dict[str, UnigramPieces] = {}
+class _Cuts(dict):
+    """Ids of the cuts seen, found by Viterbi where missing."""
+
+    def __init__(self, codec: UnigramPieces):
+        self.codec = codec
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(self) >= self.codec.limit:
+            self.clear()
+        ids = self[cut] = np.array(self.codec.viterbi(cut), dtype="<u4").tobytes()
+        return ids
 
 
+_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_CUT_LINES = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 def pieces_of(path: str) -> UnigramPieces:
     """The encoder of a model file, built once in each worker."""
-    if path not in _MODELS:
+
+    def build() -> UnigramPieces:
         with open(path, "rb") as f:
-            _MODELS[path] = UnigramPieces(f.read())
-    return _MODELS[path]
+            return UnigramPieces(f.read())
+
+    return held(f"pieces-{path}", build)
 
 
 def piece_table(docs: DataFrame, model: str, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
