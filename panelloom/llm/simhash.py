@@ -205,12 +205,112 @@ def near_duplicates(docs: DataFrame, space: Workspace, width: int = SHINGLE_WORD
     return signed.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: What the stage takes for the same text: shingles of five words, exact Jaccard similarity.
+STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
+#: Bands of three MinHashes: at 0.8 a pair shares none of them once in 36,000 times.
+STAGE_BANDS, BAND = 14, 3
+_DRAWS = (np.random.default_rng(9).integers(1, 1 << 63, STAGE_BANDS * BAND, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def shingle_hashes(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text (of all its words if they are fewer); words as for fingerprints."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
+    width = min(width, len(w))
+    h = np.zeros(len(w) - width + 1, dtype=np.uint64)
+    for i in range(width):
+        h = (h ^ w[i : len(w) - width + 1 + i]) * _ODD
+        h ^= h >> np.uint64(31)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key of each band of MinHashes."""
+    low = np.array([((shingles * m) >> np.uint64(32)).min() for m in _DRAWS], dtype=np.uint64).reshape(STAGE_BANDS, BAND)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low)]
+
+
+def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingle_hashes(t.as_py()) for t in batch.column(1)]
+        keys = [np.array(band_keys(x), dtype=np.uint64).view(np.int64) if len(x) else np.empty(0, np.int64) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["body", "keys"])
+
+
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["body", "shingles"])
+
+
+def _root_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, body, root) in runs of keys to the pairs of bodies that have different roots."""
+    for tab in grouped_runs(batches):
+        keys, body, root = (tab.column(i).to_numpy() for i in range(3))
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for k in np.flatnonzero(np.diff(cuts) > 1):
+            b, r = body[cuts[k] : cuts[k + 1]], root[cuts[k] : cuts[k + 1]]
+            for at in range(0, len(b), DENSE):
+                i, j = np.nonzero(r[at : at + DENSE, None] != r[None, at:])
+                i, j = i[i < j] + at, j[i < j] + at
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b[i], b[j])), pa.array(np.maximum(b[i], b[j]))], ["a", "b"])
+
+
+def similar_texts(docs: DataFrame, space: Workspace, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """(node, root) of the texts, named by their xxhash64, that links of the Jaccard similarity of word shingles connect.
+
+    ``docs`` has body and text. Under a band key every text is first held against the
+    one of the smallest name; then all pairs under a key that are not yet in one group."""
+    texts = spread(docs.where("text is not null"))
+    once = texts.mapInArrow(_band_rows, "body long, keys array<long>").groupBy("body").agg(F.first("keys").alias("keys"))
+    filed = space.write(once.select("body", F.explode("keys").alias("key")), "bands")
+    least = filed.groupBy("key").agg(F.min("body").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    shared = space.write(filed.join(least, "key"), "shared")
+    pairs = space.write(shared.where("body <> a").select("a", F.col("body").alias("b")).distinct(), "pairs-1")
+    need = small_side(shared.select("body").distinct())
+    held = space.write(texts.join(need, "body", "left_semi").mapInArrow(_shingle_rows, "body long, shingles array<long>").dropDuplicates(["body"]), "shingles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.withColumnsRenamed({"body": "a", "shingles": "x"}), "a").join(held.withColumnsRenamed({"body": "b", "shingles": "y"}), "b")
+        n = F.size(F.array_intersect("x", "y"))
+        return both.where(n >= similarity * (F.size("x") + F.size("y") - n) - 1e-9).select("a", "b")
+
+    links = space.write(linked(pairs), "links-1")
+    roots = space.write(components(links, space, "near-1"), "near-roots-1")
+    rooted = shared.join(small_side(roots.withColumnRenamed("node", "body")), "body", "left").select("key", "body", F.coalesce("root", "body").alias("root"))
+    rest = rooted.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_root_pairs, "a long, b long").distinct()
+    rest = space.write(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    if rest.isEmpty():
+        return roots
+    links = space.write(links.unionByName(linked(rest)), "links-2")
+    return space.write(components(links, space, "near-2"), "near-roots-2")
+
+
+def same_texts(docs: DataFrame, space: Workspace) -> DataFrame:
+    """(doc_id, component_id) of every row, component_id the smallest doc_id of its group of similar texts.
+
+    Null and wordless texts are one group, as they all have no shingle."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
+    named = plain.select("doc_id", F.when(worded, F.xxhash64("text")).otherwise(0).alias("body"), F.when(worded, F.col("text")).alias("text"))
+    roots = similar_texts(named.select("body", "text"), space)
+    slim = named.select("doc_id", "body")
+    groups = slim.groupBy("body").agg(F.min("doc_id").alias("first")).join(small_side(roots.withColumnRenamed("node", "body")), "body", "left").select("body", "first", F.coalesce("root", "body").alias("root"))
+    label = groups.join(groups.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("body", "component_id")
+    return slim.join(label, "body").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
     """One row of each group of near-duplicates, all columns kept: the one with the smallest doc_id.
 
     Rows that share that id count as one document, of which the smallest row stays.
     Rows without an id stay only where no row of their group has one."""
-    marked = space.write(near_duplicates(docs.select("doc_id", "text"), space), "marked")
+    marked = space.write(same_texts(docs, space), "marked")
     gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct(), "gone"))
     # A null id is in a group of its own kind or not: its rows go only if all of them have to.
     lone = marked.where("doc_id is null and component_id is null").isEmpty()

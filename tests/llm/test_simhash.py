@@ -104,3 +104,13 @@ def test_workers_hold_one_operators_tables():
     assert common.held("a", list) is a
     common.held("b", list)
     assert common.held("a", list) is not a
+
+
+def test_stage_joins_by_jaccard_of_five_word_shingles(spark, space_of):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    one = [w if i != 100 else "x" for i, w in enumerate(base)]  # 195 of 205 shared
+    four = [w if i not in (20, 60, 100, 140) else "x" for i, w in enumerate(base)]  # 180 of 220 shared: 0.818
+    five = [w if i not in (20, 60, 100, 140, 180) else "y" for i, w in enumerate(base)]  # 175 of 225 shared: 0.778
+    rows = [(1, " ".join(base)), (2, " ".join(one)), (3, " ".join(four)), (4, " ".join(five)), (5, "  "), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs, space_of("s")).collect()) == [1, 4, 5]
