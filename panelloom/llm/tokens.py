@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ SEGMENT_IDS = 1 << 18
 SHARD_DOCS = 20_000
 #: More documents make larger shards beyond this many (their bounds are literals of the plan).
 MAX_SHARDS = 20_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 200_000
 MAGIC = b"BPT1"
 
 # Characters of texts that may be encoded word by word: printable ASCII, plain white
@@ -44,6 +45,32 @@ _NUMBER = "".join(c for c in map(chr, range(0x180)) if c.isnumeric())
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+").findall
 
 
+# Masks and shifts of the transposition of an 8 x 8 bit matrix in a 64-bit word (fixed values).
+_SWAPS = ((0x00AA00AA00AA00AA, 7), (0x0000CCCC0000CCCC, 14), (0x00000000F0F0F0F0, 28))
+
+
+def _transposed(x: np.ndarray) -> np.ndarray:
+    """Each word seen as eight bytes of eight bits, rows and columns swapped; twice gives the words back."""
+    for mask, shift in _SWAPS:
+        moved = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ moved ^ (moved << np.uint64(shift))
+    return x
+
+
+def _to_bits(part: np.ndarray, width: int) -> np.ndarray:
+    """Bit planes (width, bytes) of ids, the lowest bit first; eight ids to a byte, the last byte filled up with 0."""
+    raw = np.zeros((-(-len(part) // 8) * 8, 4), dtype=np.uint8)
+    raw[: len(part)] = part.view(np.uint8).reshape(-1, 4)
+    words = np.ascontiguousarray(raw[:, : -(-width // 8)].T).view("<u8")
+    return _transposed(words).view(np.uint8).reshape(len(words), -1, 8).transpose(0, 2, 1).reshape(-1, words.shape[1])[:width]
+
+
+def _from_bits(planes: np.ndarray, n: int) -> np.ndarray:
+    """Ids (n, 4 bytes) of 32 bit planes."""
+    words = np.ascontiguousarray(planes.reshape(4, 8, -1).transpose(0, 2, 1)).reshape(4, -1).view("<u8")
+    return np.ascontiguousarray(_transposed(words).view(np.uint8).reshape(4, -1)[:, :n].T)
+
+
 def pack_ids(ids: np.ndarray, block: int = BLOCK_IDS, planes: str = "bit", level: int = 3) -> bytes:
     """Unsigned 32-bit ids to planes with a chunk index. An empty array gives no blocks."""
     zip_ = zstandard.ZstdCompressor(level=level)
@@ -51,11 +78,7 @@ def pack_ids(ids: np.ndarray, block: int = BLOCK_IDS, planes: str = "bit", level
     for k in range(0, len(ids), block):
         part = np.ascontiguousarray(ids[k : k + block], dtype="<u4")
         width = max(1, int(part.max()).bit_length())
-        if planes == "bit":
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-            rows = np.packbits(bits.T, axis=1, bitorder="little")
-        else:
-            rows = part.view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8].T
+        rows = _to_bits(part, width) if planes == "bit" else part.view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8].T
         packed = [zip_.compress(np.ascontiguousarray(r).tobytes()) for r in rows]
         index.append(struct.pack(f"<IB{len(packed)}I", len(part), len(packed), *map(len, packed)))
         frames += packed
@@ -72,13 +95,11 @@ def unpack_ids(data: bytes) -> np.ndarray:
         n, count = struct.unpack_from("<IB", data, at)
         sizes = struct.unpack_from(f"<{count}I", data, at + 5)
         at += 5 + 4 * count
-        raw = np.zeros((n, 4), dtype=np.uint8)
-        bits = np.zeros((n, 32), dtype=np.uint8) if bit else raw
+        rows = np.zeros((32, -(-n // 8)) if bit else (4, n), dtype=np.uint8)
         for p, length in enumerate(sizes):
-            plane = np.frombuffer(unzip.decompress(data[body : body + length]), dtype=np.uint8)
-            bits[:, p] = np.unpackbits(plane, count=n, bitorder="little") if bit else plane
+            rows[p] = np.frombuffer(unzip.decompress(data[body : body + length]), dtype=np.uint8)
             body += length
-        out.append((np.packbits(bits, axis=1, bitorder="little") if bit else raw).reshape(-1).view("<u4"))
+        out.append((_from_bits(rows, n) if bit else np.ascontiguousarray(rows.T)).reshape(-1).view("<u4"))
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
@@ -96,33 +117,45 @@ class WordEncoder(dict):
 
     The tokenizer drops white space and its pieces never span it, so the ids of a
     text are those of its words. That holds for texts of the plain characters above,
-    which the normaliser only lower-cases; any other text goes to the library whole."""
+    which the normaliser only lower-cases; any other text, and any that holds one of
+    the tokenizer's added tokens, goes to the library whole. When the words are too
+    many, those not asked for since the last time go (two generations)."""
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = "<u2" if self.code == "H" else "<u4"
         self.limit = cache
+        self.old: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        added = [re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)
 
     def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for part in _PARTS(word):
-            if not part.isascii():
-                part = "".join(self.letters[b] for b in part.encode())
-            ids += [t.id for t in self.model.tokenize(part)]
+        raw = self.old.get(word)
+        if raw is None:
+            tokenize, ids = self.model.tokenize, array(self.code)
+            if word.isascii() and word.isalpha():
+                ids.extend([t.id for t in tokenize(word)])
+            else:
+                for part in _PARTS(word):
+                    if not part.isascii():
+                        part = "".join([self.letters[b] for b in part.encode()])
+                    ids.extend([t.id for t in tokenize(part)])
+            raw = ids.tobytes()
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        raw = self[word] = np.array(ids, dtype=self.dtype).tobytes()
+        self[word] = raw
         return raw
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids (of ``dtype``) of a text; null counts as empty."""
         text = text or ""
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.added.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -135,7 +168,9 @@ def write_token_files(docs: DataFrame, space: Workspace, tokenizer: str, end_id:
     """Encode docs(doc_id, text) and write the segments; returns the table of segments.
 
     Null text counts as empty (its ids are the end id alone); a null doc_id sorts
-    first. Rows that repeat a doc_id are all kept, ordered by their ids."""
+    first. Rows that repeat a doc_id are all kept, ordered by their ids; they share a
+    shard, as shards part the order of doc_id, and stream through its task one segment
+    at a time. A very long text is encoded whole and makes a segment of its own size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds, shards = _bounds(rows, per_shard)
 

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from panelloom.llm import tokens
 
@@ -28,15 +29,16 @@ def test_word_by_word_equals_whole_texts(documents):
     enc = tokens.WordEncoder(PATH, cache=500)
     plain = [chr(i) for i in range(0x20, 0x180) if not tokens._OTHER.search(chr(i))] + ["\n", "\t", "'s", "'LL", "1st"]
     dice = random.Random(0)
-    texts = [r.text or "" for r in documents.collect()] + ["".join(dice.choices(plain, k=80)) for _ in range(1500)] + ["<|endoftext|> a", "日本 x\x1cy", ""]
-    for text, e in zip(texts, enc.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+    texts = [r.text or "" for r in documents.collect()] + ["".join(dice.choices(plain, k=80)) for _ in range(1500)] + ["<|endoftext|> a", "hello <|endoftext|> world", "a<|startoftext|>b", "<|ENDOFTEXT|> x <|endoftext", "日本 x\x1cy", ""]
+    plainly = Tokenizer.from_file(PATH)
+    for text, e in zip(texts, plainly.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == e.ids
 
 
 def brute(rows):
-    enc = tokens.WordEncoder(PATH)
+    plainly = Tokenizer.from_file(PATH)
     out, at = [], 0
-    coded = [(d, np.array([*enc.tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for d, t in rows]
+    coded = [(d, np.array([*plainly.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for d, t in rows]
     for d, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]))):
         out.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -62,3 +64,10 @@ def test_edges(edge_docs, no_docs, space_of):
     assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [r[0] for r in sorted(want, key=key)]
     assert tokens.token_table(no_docs, space_of("t"), PATH).count() == 0
+
+
+def test_added_tokens_are_the_library_s(spark, space_of):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|startoftext|><|endoftext|>"), (3, "plain words"), (4, "a < | endoftext | > b")]
+    got = sorted(tuple(r) for r in tokens.token_table(spark.createDataFrame(rows, "doc_id long, text string"), space_of("t"), PATH).collect())
+    assert got == brute(rows)
+    assert np.frombuffer(tokens.WordEncoder(PATH).encode(rows[0][1]), "<u2").tolist() == [3306, 49407, 1002]
