@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Broadcast a key set only up to this many rows (about 64 MB as a hash table).
-BROADCAST_ROWS = 2_000_000
+#: Broadcast a table only up to so many bytes of rows.
+BROADCAST_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,12 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _HELD[name]
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the counted rows stay under the limit; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_side(written: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """Hint a broadcast if the rows' bytes, summed, stay under the limit; else leave the join to Spark.
+
+    The table is read for it, so it should be a written one."""
+    size = written.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written
 
 
 def id_hash_mod(column: Column | str, modulus: int) -> Column:

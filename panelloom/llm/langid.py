@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import held, id_hash_mod, small_side, spread
+from panelloom.llm.common import held, id_hash_mod, spread
 
 FOLDS, HELD_OUT = 4, 2
 #: The automata are fitted on at most this many documents and characters of each language.
@@ -190,7 +190,7 @@ def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
     able = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash_mod("doc_id", FOLDS) != HELD_OUT))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = able.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
-    chosen = small_side(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "k"))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "k")
     rows = able.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "k", F.substring("text", 1, each).alias("text")).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):

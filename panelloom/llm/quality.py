@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import id_hash_mod, small_side, spread
+from panelloom.llm.common import id_hash_mod, spread
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of each class that the weights are learned on, at most.
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Ranker
     known = labels.where(F.col("quality").isin(0, 1) & (id_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("doc_id").alias("_id"), "good")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small_side(chosen), F.col("doc_id") == F.col("_id"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
     rows = sorted(_features(texts).groupBy("doc_id", "good").agg(F.min("x").alias("x")).collect())
     return fit(np.array([r.x for r in rows]).reshape(len(rows), SHAPE + 256), np.array([r.good for r in rows]))
 

@@ -272,7 +272,7 @@ def similar_texts(docs: DataFrame, space: Workspace, similarity: float = STAGE_S
     least = filed.groupBy("key").agg(F.min("body").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     shared = space.write(filed.join(least, "key"), "shared")
     pairs = space.write(shared.where("body <> a").select("a", F.col("body").alias("b")).distinct(), "pairs-1")
-    need = small_side(shared.select("body").distinct())
+    need = small_side(space.write(shared.select("body").distinct(), "need"), 16)
     held = space.write(texts.join(need, "body", "left_semi").mapInArrow(_shingle_rows, "body long, shingles array<long>").dropDuplicates(["body"]), "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def similar_texts(docs: DataFrame, space: Workspace, similarity: float = STAGE_S
 
     links = space.write(linked(pairs), "links-1")
     roots = space.write(components(links, space, "near-1"), "near-roots-1")
-    rooted = shared.join(small_side(roots.withColumnRenamed("node", "body")), "body", "left").select("key", "body", F.coalesce("root", "body").alias("root"))
+    rooted = shared.join(small_side(roots.withColumnRenamed("node", "body"), 24), "body", "left").select("key", "body", F.coalesce("root", "body").alias("root"))
     rest = rooted.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_root_pairs, "a long, b long").distinct()
     rest = space.write(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if rest.isEmpty():
@@ -300,7 +300,7 @@ def same_texts(docs: DataFrame, space: Workspace) -> DataFrame:
     named = plain.select("doc_id", F.when(worded, F.xxhash64("text")).otherwise(0).alias("body"), F.when(worded, F.col("text")).alias("text"))
     roots = similar_texts(named.select("body", "text"), space)
     slim = named.select("doc_id", "body")
-    groups = slim.groupBy("body").agg(F.min("doc_id").alias("first")).join(small_side(roots.withColumnRenamed("node", "body")), "body", "left").select("body", "first", F.coalesce("root", "body").alias("root"))
+    groups = slim.groupBy("body").agg(F.min("doc_id").alias("first")).join(small_side(roots.withColumnRenamed("node", "body"), 24), "body", "left").select("body", "first", F.coalesce("root", "body").alias("root"))
     label = groups.join(groups.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("body", "component_id")
     return slim.join(label, "body").select("doc_id", "component_id")
 
@@ -311,7 +311,7 @@ def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
     Rows that share that id count as one document, of which the smallest row stays.
     Rows without an id stay only where no row of their group has one."""
     marked = space.write(same_texts(docs, space), "marked")
-    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct(), "gone"))
+    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct(), "gone"), 16)
     # A null id is in a group of its own kind or not: its rows go only if all of them have to.
     lone = marked.where("doc_id is null and component_id is null").isEmpty()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) if lone else F.col("doc_id") == F.col("__id")
