@@ -2,9 +2,10 @@
 
 A page becomes a row of text blocks. A classifier gives each block the cost of
 calling it content and of calling it boilerplate: these are the capacities to
-the two terminals. Blocks that follow each other, and blocks that share a close
-ancestor, are joined by smoothness edges. The minimum cut of that graph is the
-cheapest labelling; blocks on the content side are the main text.
+the two terminals. Blocks that follow each other are joined by edges that weaken
+with their distance in the page's tree, and so are the nearest blocks under one
+parent and in one section. The minimum cut of that graph is the cheapest labelling; blocks on the
+content side are the main text. All blocks go through the flow.
 """
 
 from __future__ import annotations
@@ -32,21 +33,32 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Opening one of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
-# Words of class, id and role that mark boilerplate or content (fixed values).
-BAD_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|footer|header|masthead|comments?|disqus|reply|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|login|signup|search|tags?|pager|pagination|widget|hidden|copyright|legal|toolbar)(?:$|[\s_-])", re.I)
-GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
-
-#: Log-odds of content that the parts of a page add (parameters of the classifier).
-PRIOR = {"main": 9.0, "boiler": -12.0, "bad": -12.0, "good": 2.0}
-#: Weights of the plain features (bias, log of words, share of linked characters, sentence
-#: ends, list item, heading) where no page of the sample tells content from boilerplate.
-WEIGHTS = (-2.0, 1.1, -7.0, 1.0, -0.8, 0.3)
-#: The weights are learned on at most this many pages.
-SAMPLE_PAGES = 400
-NEXT_TO, SAME_PARENT = 0.6, 0.5
+# Words of class, id and role that mark boilerplate, reader comments or content (fixed values).
+BAD_WORDS = frozenset("ad ads advert advertisement advertising adverts sponsor sponsored sponsors promo promotion promos banner cookie cookies consent notice notices popup modal nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer header masthead share sharing social related recommend recommended recommendations newsletter subscribe subscription login signup search tags pager pagination widget widgets hidden copyright legal toolbar".split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+GOOD_WORDS = frozenset("article content main post entry story text body".split())
+#: A word behind one of these is told not to hold.
+DENIED = frozenset("no not has with without is hide hides non".split())
+
+#: Weights of the classifier before it is fitted: bias, log of words, share of linked characters,
+#: sentence end, list item, heading, then the place: main element, boilerplate element, bad word, good word.
+WEIGHTS = (-2.0, 1.1, -5.0, 1.0, -0.8, 0.3, 1.0, -4.0, -4.0, 1.0)
+#: The first so many are of the text itself.
+PLAIN = 6
+#: How firmly the fit holds on to them.
+RIDGE = 20.0
+#: Log-odds beyond which a block's cost does not grow.
+SUREST = 8.0
+#: The weights are learned on at most this many pages of so many characters at most each.
+SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
+#: Cost of parting two blocks that follow each other, or the nearest two under one parent or in one
+#: section; each step in the page's tree beyond siblings leaves a share of it, and each border of a
+#: landmark (or marked element) that lies between them a smaller one.
+NEXT_TO, SAME_PARENT, SAME_SECTION, STEP_SHARE, BORDER_SHARE = 2.0, 1.0, 4.0, 0.7, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_PIECES = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…。！？](?=\s|$)")
 _WHITE = re.compile(r"\s+")
 
@@ -56,18 +68,44 @@ class Block:
     text: str
     linked: int
     tag: str
-    parent: int
+    path: tuple[int, ...]  # numbers of its element and those around it, outermost first; borders are negative
     main: bool
     boiler: bool
     bad: bool
     good: bool
 
 
+def marks_of(words: str) -> tuple[bool, bool, bool]:
+    """(bad, comment, good) for the value of a class, id or role: the first or the last word of a name
+    counts, but not one behind a word such as ``no``."""
+    bad = comment = good = False
+    for name in words.split():
+        parts = [x.lower() for x in _PIECES.split(name) if x]
+        if not parts or parts[0] in DENIED:
+            continue
+        for x in {parts[0], parts[-1]}:
+            bad, comment, good = bad or x in BAD_WORDS, comment or x in COMMENT_WORDS, good or x in GOOD_WORDS
+    return bad, comment, good
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element, with what it has of those around it."""
+
+    name: str
+    path: tuple[int, ...]
+    main: bool = False
+    boiler: bool = False
+    bad: bool = False
+    comment: bool = False
+    good: bool = False
+    skipped: bool = False
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; markup, scripts, styles and comments are gone."""
     out: list[Block] = []
-    # open elements: (name, number, main, boiler, bad, good, skipped)
-    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
+    stack = [_Open("", ())]
     count, links, at = 0, 0, 0
     text: list[str] = []
     linked = 0
@@ -78,16 +116,16 @@ def blocks_of(page: str) -> list[Block]:
             joined = _WHITE.sub(" ", "".join(text)).strip()
             if joined:
                 k = len(stack) - 1
-                while k and stack[k][0] in INLINE:
+                while k and stack[k].name in INLINE:
                     k -= 1
-                _, _, main, boiler, bad, good, _ = stack[-1]
-                out.append(Block(joined, min(linked, len(joined)), stack[k][0], stack[max(0, k - 1)][1], main, boiler, bad, good))
+                top = stack[-1]
+                out.append(Block(joined, min(linked, len(joined)), stack[k].name, stack[k].path, top.main, top.boiler, top.bad or top.comment, top.good))
             text.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece and not stack[-1][6]:
+        if piece and not stack[-1].skipped:
             piece = entities.unescape(piece)
             text.append(piece)
             if links:
@@ -95,8 +133,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal links
-        for name, *_ in stack[to:]:
-            links -= name == "a"
+        for x in stack[to:]:
+            links -= x.name == "a"
         del stack[to:]
 
     while True:
@@ -116,42 +154,52 @@ def blocks_of(page: str) -> list[Block]:
             text.append(" ")
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     close(k)
                     break
-                if name in INLINE and stack[k][0] not in INLINE:
+                if name in INLINE and stack[k].name not in INLINE:
                     break
             continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+                if stack[k].name == "p":
                     close(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].name not in INLINE:
                     break
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             peers = {"li": ("li",), "tr": ("tr", "td", "th")}.get(name, (name,) if name == "option" else ("dt", "dd") if name[0] == "d" else ("td", "th"))
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in peers:
+                if stack[k].name in peers:
                     close(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k].name not in INLINE and stack[k].name != "p":
                     break
         if name in VOID or m[3].endswith("/"):
             continue
-        _, _, main, boiler, bad, good, skipped = stack[-1]
+        above = stack[-1]
         count += 1
+        bad = comment = good = skipped = False
         if m[3]:
             for key, value in _ATTRIBUTE.findall(m[3]):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role"):
-                    bad = bad or bool(BAD_WORDS.search(value))
-                    good = good or bool(GOOD_WORDS.search(value))
+                    found = marks_of(value)
+                    bad, comment, good = bad or found[0], comment or found[1], good or found[2]
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                     skipped = True
+        if name in ("html", "body"):
+            bad = comment = good = False
+        # a main element speaks against the words on it and around it, but for those of comments
+        outer = name in MAIN and not above.main
+        if outer:
+            bad = False
+            comment = comment and name != "main"
         # a header inside an article heads that article
-        boiler = boiler or (name in BOILER and not (name == "header" and main))
-        stack.append((name, count, main or name in MAIN, boiler, bad, good, skipped or name in SKIPPED))
+        lands = name in BOILER and not (name == "header" and above.main)
+        border = lands or name in MAIN or bad or comment
+        path = (*above.path, -count if border else count)
+        stack.append(_Open(name, path, above.main or name in MAIN, above.boiler or lands, bad or (above.bad and not outer), comment or above.comment, good or above.good, above.skipped or skipped or name in SKIPPED))
         links += name == "a"
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -161,36 +209,40 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def plain_features(b: Block) -> tuple[float, ...]:
+def features(b: Block) -> tuple[float, ...]:
+    """Plain features of the text, then those of its place; a boilerplate mark takes away that of the main element."""
     words = b.text.count(" ") + 1
-    return (1.0, math.log(words), b.linked / len(b.text), float(bool(_SENTENCE.search(b.text))), float(b.tag == "li"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()))
+    apart = b.boiler or b.bad
+    plain = (1.0, math.log(words), b.linked / len(b.text), float(bool(_SENTENCE.search(b.text))), float(b.tag == "li"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()))
+    return (*plain, float(b.main and not apart), float(b.boiler), float(b.bad), float(b.good and not apart))
 
 
-def fit_weights(pages: Iterable[str | None], steps: int = 25, ridge: float = 1.0) -> tuple[float, ...]:
+def fit_weights(pages: Iterable[str | None], steps: int = 25, ridge: float = RIDGE) -> tuple[float, ...]:
     """Logistic regression on blocks that the page itself marks: those in a main
-    element against those in menus, footers and the like. Without both kinds: WEIGHTS."""
+    element against those in menus, footers and the like. As the marks are the
+    places, the text's own features alone are fitted and the weights of the place
+    stay as they are. Without both kinds: WEIGHTS."""
     rows, marks = [], []
     for page in pages:
         for b in blocks_of(page or ""):
-            if b.main != (b.boiler or b.bad):
-                rows.append(plain_features(b))
-                marks.append(float(b.main))
+            if b.main or b.boiler or b.bad:
+                rows.append(features(b)[:PLAIN])
+                marks.append(float(b.main and not (b.boiler or b.bad)))
     if len(set(marks)) < 2:
         return WEIGHTS
     x, y = np.array(rows), np.array(marks)
-    w = np.array(WEIGHTS)
-    start = w.copy()
+    start = np.array(WEIGHTS[:PLAIN])
+    w = start.copy()
     for _ in range(steps):  # Newton's method, drawn to the start by the ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * (w - start))
-    return tuple(w.tolist())
+    return (*w.tolist(), *WEIGHTS[PLAIN:])
 
 
 def log_odds(b: Block, weights: tuple[float, ...] = WEIGHTS) -> float:
-    """Of a block being content: what its place in the page says and its own features."""
-    z = max(-6.0, min(6.0, sum(w * x for w, x in zip(weights, plain_features(b), strict=True))))
-    return z + PRIOR["main"] * b.main + PRIOR["boiler"] * b.boiler + PRIOR["bad"] * b.bad + PRIOR["good"] * b.good
+    """Of a block being content, by the classifier."""
+    return max(-SUREST, min(SUREST, sum([w * x for w, x in zip(weights, features(b), strict=True)])))
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -263,48 +315,35 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between blocks in a row, and between the nearest blocks under one parent."""
-    edges = [(i, i + 1, NEXT_TO) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
+    """Edges between blocks in a row, between the nearest under one parent and in one section, by their distance in the page's tree."""
+
+    def distance(i: int, j: int) -> list[int]:
+        a, b = blocks[i].path, blocks[j].path
+        k, top = 0, min(len(a), len(b))
+        while k < top and a[k] == b[k]:
+            k += 1
+        return [*a[k:], *b[k:]]
+
+    edges = []
+    for i in range(len(blocks) - 1):
+        steps = distance(i, i + 1)
+        edges.append((i, i + 1, NEXT_TO * STEP_SHARE ** max(0, len(steps) - 2) * BORDER_SHARE ** sum([x < 0 for x in steps])))
+    last: dict[tuple[str, int], int] = {}
     for i, b in enumerate(blocks):
-        if b.parent in last:
-            edges.append((last[b.parent], i, SAME_PARENT))
-        last[b.parent] = i
+        # the innermost bordered element around it is the section it belongs to
+        home = next((x for x in reversed(b.path) if x < 0), 0)
+        for key, cost in ((("parent", b.path[-2] if len(b.path) > 1 else 0), SAME_PARENT), (("section", home), SAME_SECTION)):
+            if key in last:
+                steps = distance(last[key], i)
+                edges.append((last[key], i, cost * STEP_SHARE ** max(0, len(steps) - 2) * BORDER_SHARE ** sum([x < 0 for x in steps])))
+            last[key] = i
     return edges
 
 
 def content(blocks: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
-    """Labels of the minimum cut. Blocks whose own cost outweighs all their edges
-    keep their label in some minimum cut, so only the others need the flow."""
-    n = len(blocks)
+    """Labels of the minimum cut: a block's log-odds are its capacity to one terminal or the other."""
     z = [log_odds(b, weights) for b in blocks]
-    edges = smoothness(blocks)
-    pull = [0.0] * n
-    for u, v, c in edges:
-        pull[u] += c
-        pull[v] += c
-    fixed = [abs(z[i]) > pull[i] for i in range(n)]
-    label = [x > 0 for x in z]
-    loose = [i for i in range(n) if not fixed[i]]
-    if loose:
-        number = {x: k for k, x in enumerate(loose)}
-        source = [max(0.0, z[i]) for i in loose]
-        sink = [max(0.0, -z[i]) for i in loose]
-        rest = []
-        for u, v, c in edges:
-            if fixed[u] and fixed[v]:
-                continue
-            if fixed[u] or fixed[v]:
-                known, k = (u, number[v]) if fixed[u] else (v, number[u])
-                if label[known]:
-                    source[k] += c
-                else:
-                    sink[k] += c
-            else:
-                rest.append((number[u], number[v], c))
-        for k, side in enumerate(min_cut(source, sink, rest)):
-            label[loose[k]] = side
-    return label
+    return min_cut([max(0.0, x) for x in z], [max(0.0, -x) for x in z], smoothness(blocks))
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
@@ -313,19 +352,20 @@ def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
     return "\n\n".join(b.text for b, keep in zip(blocks, content(blocks, weights), strict=True) if keep)
 
 
-def sampled_pages(pages: DataFrame, limit: int = SAMPLE_PAGES) -> list[str]:
-    """Html of the pages with the lowest hash of page_id, at most ``limit`` of them."""
-    ids = [r[0] for r in pages.where("page_id is not null and html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect()]
-    rows = pages.where(F.col("page_id").isin(ids)).select("page_id", "html").collect() if ids else []
-    return [r.html for r in sorted(rows, key=lambda r: (r.page_id, r.html or ""))]
+def sampled_pages(pages: DataFrame, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Html of ``limit`` pages (lowest hash of page_id) of up to ``chars`` characters."""
+    able = pages.where(F.length("html") <= chars).select(F.xxhash64("page_id").alias("k"), "html")
+    return [r.html for r in able.orderBy("k", "html").limit(limit).collect()]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages(page_id, url, html).
 
-    Null and empty html give empty text; rows that repeat are each returned; an
-    empty table gives an empty result; extra columns are ignored."""
-
+    Null and empty html give empty text; blocks whose two labels cost the same are
+    boilerplate; a very long page is parsed whole, its graph has an edge or two for
+    each block; rows that repeat are each returned; an empty table gives an empty
+    result; extra columns are ignored."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     weights = fit_weights(sampled_pages(pages))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,5 +373,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x, weights) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return spread(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(pages).mapInArrow(run, "page_id long, url string, text string, n_chars long")

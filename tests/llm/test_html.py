@@ -41,11 +41,11 @@ def test_min_cut_against_all_labellings():
         assert cost(html.min_cut(source, sink, edges)) == pytest.approx(min(map(cost, product([False, True], repeat=n))))
 
 
-def test_fixing_sure_blocks_keeps_the_optimum():
+def test_labels_are_the_cheapest():
     dice = random.Random(6)
     for _ in range(60):
         n = dice.randint(1, 7)
-        blocks = [html.Block("word " * dice.randint(1, 40), dice.choice([0, 0, 3]), "p", dice.randint(0, 2), False, False, False, False) for _ in range(n)]
+        blocks = [html.Block("word " * dice.randint(1, 40), dice.choice([0, 0, 3]), "p", (1, dice.choice([2, -3, 4]), 5 + i), dice.random() < 0.3, dice.random() < 0.2, False, False) for i in range(n)]
         z = [html.log_odds(b) for b in blocks]
         edges = html.smoothness(blocks)
 
