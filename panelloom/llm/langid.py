@@ -10,6 +10,7 @@ batch one character on, in every automaton at once.
 from __future__ import annotations
 
 import math
+import random
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import held, id_hash_mod, spread
 
 FOLDS, HELD_OUT = 4, 2
-#: The automata are fitted on at most this many documents and characters of each language.
+#: The automata are fitted on at most this many documents and characters of each language, whole texts all of them.
 SAMPLE_DOCS = 60
 SAMPLE_CHARS = 40_000
-#: Characters that are parsed at once; a longer text is parsed by itself.
+#: Longer texts are taken for a language without shorter ones only, and then the shortest alone.
+SAMPLE_TEXT = 10_000
+#: Characters times languages that are parsed at once; a longer text is parsed by itself.
 AT_ONCE = 2_000_000
-#: Lanes of the lockstep parse; a phrase is cut where a lane ends.
-LANE = 2048
+#: Characters of a lane of the lockstep parse.
+LANE = 1024
 UNDETERMINED = "und"
 _SPACE, _UNKNOWN = 1, 0
 
@@ -44,16 +47,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(unicodedata.normalize("NFC", text).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states, width) of the smallest automaton that reads every
-    substring; state 1 is the root, 0 is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions by state of the smallest automaton that reads every substring; state 1 is the root, 0 is none."""
     n = len(codes)
-    table = np.zeros((2 * n + 2, width), dtype=np.int32)
     link, length = [0] * (2 * n + 2), [0] * (2 * n + 2)
-    step: list[dict[int, int]] = [{} for _ in range(2 * n + 2)]
-    last, size = 1, 2
+    step: list[dict[int, int]] = [{}, {}]
+    last = 1
     for c in codes:
-        cur, size = size, size + 1
+        cur = len(step)
+        step.append({})
         length[cur] = length[last] + 1
         p = last
         while p and c not in step[p]:
@@ -66,17 +68,46 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone, size = size, size + 1
-                length[clone], step[clone], link[clone] = length[p] + 1, dict(step[q]), link[q]
+                clone = len(step)
+                step.append(dict(step[q]))
+                length[clone], link[clone] = length[p] + 1, link[q]
                 while p and step[p].get(c) == q:
                     step[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    for s in range(1, size):
-        for c, to in step[s].items():
-            table[s, c] = to
-    return table[:size]
+    return step
+
+
+def double_array(steps: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target) so that state s goes by class c to target[base[s] + c] where owner[base[s] + c] is s.
+
+    Its size follows the number of transitions, whatever the number of classes: states
+    of many transitions take the first of some pseudo-random places that suits, states
+    of one fill the gaps."""
+    total = sum(map(len, steps))
+    size = 3 * total + 2 * width + 16
+    base = np.zeros(len(steps), dtype=np.int32)
+    owner, target = np.zeros(size + width, dtype=np.int32), np.zeros(size + width, dtype=np.int32)
+    taken = bytearray(size)
+    dice = random.Random(1)
+    for s in sorted((s for s, to in enumerate(steps) if len(to) > 1), key=lambda s: -len(steps[s])):
+        classes = list(steps[s])
+        while True:
+            at = dice.randrange(size - width)
+            if not any([taken[at + c] for c in classes]):
+                break
+        base[s] = at
+        for c, to in steps[s].items():
+            taken[at + c] = 1
+            owner[at + c], target[at + c] = s, to
+    single = [s for s, to in enumerate(steps) if len(to) == 1]
+    if single:
+        c, to = (np.array(x) for x in zip(*[next(iter(steps[s].items())) for s in single], strict=True))
+        gaps = np.flatnonzero(np.frombuffer(taken, np.uint8)[width:] == 0)[: len(single)] + width
+        base[single] = gaps - c
+        owner[gaps], target[gaps] = single, to
+    return base, owner, target
 
 
 class CrossParser:
@@ -87,18 +118,24 @@ class CrossParser:
         kinds = _kinds()
         points = {k: code_points(v) for k, v in samples.items()}
         seen = sorted({int(x) for p in points.values() for x in np.unique(p) if kinds[x]})
-        self.classes = np.where(kinds > 0, _UNKNOWN, _SPACE).astype(np.uint16)
+        self.classes = np.where(kinds > 0, _UNKNOWN, _SPACE).astype(np.uint16 if len(seen) < 65_000 else np.uint32)
         self.classes[seen] = np.arange(2, 2 + len(seen))
         self.width = 2 + len(seen)
-        tables, self.roots, self.weight, at = [], [], [], 0
+        steps: list[dict[int, int]] = [{}]
+        self.roots, self.weight = [], []
         for lang in self.langs:
             codes = self.encode(points[lang])
-            t = suffix_automaton([c for c in codes.tolist() if c != _UNKNOWN], self.width)
-            tables.append(np.where(t > 0, t + at, 0).astype(np.int32))
+            at = len(steps) - 1
+            own = suffix_automaton([c for c in codes.tolist() if c != _UNKNOWN])
+            steps += [{c: to + at for c, to in x.items()} for x in own[1:]]
             self.roots.append(at + 1)
             self.weight.append(math.log2(len(codes) + 2))
-            at += len(t)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        self.base, self.owner, self.target = double_array(steps, self.width)
+        # Where a phrase ends the next begins at the root.
+        self.first = np.zeros((len(self.langs), self.width), dtype=np.int32)
+        for k, root in enumerate(self.roots):
+            for c, to in steps[root].items():
+                self.first[k, c] = to
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         """Classes of the characters; anything but letters is one space."""
@@ -110,42 +147,74 @@ class CrossParser:
         keep[1:] = ~(space[1:] & space[:-1])
         return c[keep]
 
+    def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, phrases ended) after each lane (column) reads its class, in every language (row)."""
+        at = self.base.take(state) + c
+        to = np.where(self.owner.take(at) == state, self.target.take(at), 0)
+        ended = np.zeros(to.shape, dtype=np.int8)
+        row, col = np.nonzero(to == 0)
+        if len(row):
+            root = self.root[row]
+            again = self.first[row, c[col]]
+            unknown = again == 0
+            ended[row, col] = (state[row, col] != root) + unknown.astype(np.int8)
+            to[row, col] = np.where(unknown, root, again)
+        return to, ended
+
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (column) against each language (row)."""
-        total = np.zeros((len(self.langs), len(coded)), dtype=np.int64)
-        owner, starts, sizes, at = [], [], [], 0
-        for k, c in enumerate(coded):
-            for a in range(0, len(c), LANE):
-                owner.append(k)
-                starts.append(at + a)
-                sizes.append(min(LANE, len(c) - a))
-            at += len(c)
-        if not owner or not self.langs:
+        """Phrases of each text (column) against each language (row): greedy longest matches over the whole text.
+
+        Long texts are parsed in lanes at once, each as if a phrase began with it. Then
+        each lane is parsed again from the state in which the lane before it ended,
+        until the states meet (from there on both parses are the same), and so on
+        while an end changes."""
+        langs = len(self.langs)
+        total = np.zeros((langs, len(coded)), dtype=np.int64)
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        if not langs or not sizes.sum():
             return total
-        flat = np.concatenate(coded)
-        order = np.argsort(-np.array(sizes), kind="stable")
-        sizes_, starts_, owner_ = np.array(sizes)[order], np.array(starts)[order], np.array(owner)[order]
-        root = np.array(self.roots, dtype=np.int64)[:, None]
-        state = np.repeat(root, len(order), axis=1)
-        count = np.zeros(state.shape, dtype=np.int64)
-        live = len(order)
-        for t in range(int(sizes_[0])):
-            while sizes_[live - 1] <= t:
-                live -= 1
-            c = flat[starts_[:live] + t].astype(np.int64)
-            now = state[:, :live]
-            to = self.table.take(now * self.width + c).astype(np.int64)
-            row, col = np.nonzero(to == 0)
-            if len(row):
-                count[row, col] += now[row, col] != root[row, 0]
-                again = self.table.take(root[row, 0] * self.width + c[col]).astype(np.int64)
-                unknown = again == 0
-                count[row, col] += unknown
-                to[row, col] = np.where(unknown, root[row, 0], again)
-            state[:, :live] = to
-        count += state != root
-        for i in range(len(self.langs)):
-            total[i] = np.bincount(owner_, weights=count[i], minlength=len(coded)).astype(np.int64)
+        self.root = np.array(self.roots, dtype=np.int32)
+        flat = np.concatenate(coded).astype(np.int32)
+        ends = np.cumsum(sizes)
+        lanes = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(coded)), lanes)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = (ends - sizes)[text] + number * LANE
+        size = np.minimum(LANE, ends[text] - start)
+        seen = np.zeros((langs, len(flat)), dtype=np.int32)
+        count = np.zeros((langs, len(flat)), dtype=np.int8)
+        order = np.argsort(-size, kind="stable")
+        state = np.repeat(self.root[:, None], len(order), axis=1)
+        begin, length = start[order], size[order]
+        for t in range(int(length[0])):
+            live = int(np.searchsorted(-length, -t, side="left"))
+            at = begin[:live] + t
+            state, count[:, at] = self._step(state[:, :live], flat[at])
+            seen[:, at] = state
+        last = start + size - 1
+        todo = np.flatnonzero(number > 0)
+        while len(todo):
+            state = seen[:, last[todo - 1]]
+            changed = np.zeros(len(text), dtype=bool)
+            live = np.flatnonzero((state != self.root[:, None]).any(axis=0))
+            lane, state, t = todo[live], state[:, live], 0
+            while len(lane):
+                at = start[lane] + t
+                state, ended = self._step(state, flat[at])
+                old = seen[:, at]
+                seen[:, at], count[:, at] = state, ended
+                t += 1
+                apart = (state != old).any(axis=0)
+                out = apart & (size[lane] == t)
+                changed[lane[out]] = True
+                go = apart & ~out
+                lane, state = lane[go], state[:, go]
+            after = np.flatnonzero(changed) + 1
+            after = after[after < len(text)]
+            todo = after[number[after] > 0]
+        full = sizes > 0
+        total[:, full] = np.add.reduceat(count, (ends - sizes)[full], axis=1, dtype=np.int64)
+        total[:, full] += seen[:, ends[full] - 1] != self.root[:, None]
         return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -153,7 +222,7 @@ class CrossParser:
         part: list[str] = []
         size = 0
         for text in texts:
-            if part and size + len(text or "") > AT_ONCE:
+            if part and (size + len(text or "")) * max(1, len(self.langs)) > AT_ONCE:
                 out += self._predict(part)
                 part, size = [], 0
             part.append(text or "")
@@ -183,20 +252,30 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return held(f"langid-{hash(tuple(sorted(samples.items())))}", lambda: CrossParser(samples))
 
 
-def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text of each language outside the held-out fold, at most
-    ``sample_docs`` documents (lowest hash of doc_id) and ``sample_chars`` characters."""
-    each = max(1, 2 * sample_chars // max(1, sample_docs))
+def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_text: int = SAMPLE_TEXT) -> dict[str, str]:
+    """Labelled texts of each language outside the held-out fold: at most ``sample_docs``
+    documents (lowest hash of doc_id) of together ``sample_chars`` characters at most.
+
+    Texts are taken whole. Those over ``sample_text`` characters are left out, unless a
+    language has no other; then the shortest of them is its sample. What reaches the
+    driver grows with the number of languages only."""
     able = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash_mod("doc_id", FOLDS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = able.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "k")
-    rows = able.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "k", F.substring("text", 1, each).alias("text")).collect()
-    out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):
-        if len(out.get(r.lang, "")) < sample_chars:
-            out[r.lang] = (out.get(r.lang, "") + "\n" + r.text)[:sample_chars]
-    return out
+    size = F.length("text") + 1  # and a line feed between texts
+    over = F.when(size > min(sample_text, sample_chars), size).otherwise(0)
+    order = Window.partitionBy("lang").orderBy("over", "name", "doc_id", "size", "body")
+    listed = able.select("doc_id", "lang", size.alias("size"), over.alias("over"), F.xxhash64("doc_id").alias("name"), F.xxhash64("text").alias("body"))
+    # Of each language the first few of every task only are sorted together.
+    first = listed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    sums = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = first.withColumn("sum", sums).where((F.col("k") == 1) | ((F.col("over") == 0) & (F.col("sum") <= sample_chars)))
+    # Of few rows: sample_docs of each language at most.
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("body").alias("_body"), "k"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_body"))
+    rows = able.join(chosen, same).groupBy("lang", "k").agg(F.min("text").alias("text")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.k)):
+        out.setdefault(r.lang, []).append(r.text)
+    return {lang: "\n".join(texts) for lang, texts in out.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -205,8 +284,9 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, keep: tuple
     held_out is true where crc32(doc_id as text) mod 4 is 2 (false for a null id).
     lang_pred is ``und`` with score 0 where the text is null or has no letter, and
     where there is nothing to learn from. Ties go to the first language in
-    alphabetic order. Whole texts are parsed; a row that repeats is returned again;
-    an empty table gives an empty result."""
+    alphabetic order. Whole texts are parsed, very long ones by themselves in lanes
+    that are joined to one parse; a row that repeats is returned again; an empty
+    table gives an empty result."""
     samples = training_samples(docs) if samples is None else samples
     types = dict(docs.dtypes)
 
@@ -222,7 +302,9 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, keep: tuple
 
 
 def of_known_language(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
-    """The rows of docs whose language is determined, with all their columns as they are."""
+    """The rows of docs whose language is determined, with all their columns as they are.
+
+    Rows of null text or without a letter go; every other row stays, repeats included."""
     samples = training_samples(docs) if samples is None else samples
     at = docs.columns.index("text")
 

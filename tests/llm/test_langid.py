@@ -11,13 +11,13 @@ def test_automaton_reads_all_substrings_and_no_others():
     dice = random.Random(2)
     for _ in range(30):
         text = [dice.randint(2, 4) for _ in range(40)]
-        table = langid.suffix_automaton(text, 6)
+        table = langid.suffix_automaton(text)
         inside = {tuple(text[i:j]) for i in range(40) for j in range(i + 1, min(41, i + 6))}
         for _ in range(200):
             w = [dice.randint(2, 5) for _ in range(dice.randint(1, 5))]
             s = 1
             for c in w:
-                s = table[s, c] if s else 0
+                s = table[s].get(c, 0) if s else 0
             assert bool(s) == (tuple(w) in inside)
 
 
@@ -47,10 +47,38 @@ def test_phrases_are_greedy_longest_matches():
             assert got[i, k] == naive_phrases(parser, lang, s)
 
 
-def test_lanes_cut_long_texts():
-    parser = langid.CrossParser({"x": "ab" * 50})
-    whole = parser.encode(langid.code_points("ab" * 5000))
-    assert parser.phrases([whole])[0, 0] == sum(-(-min(langid.LANE, len(whole) - a) // 100) for a in range(0, len(whole), langid.LANE))
+@pytest.mark.parametrize("lane", [7, 64, langid.LANE])
+def test_lanes_join_to_one_parse(monkeypatch, lane):
+    """Phrases of 10,000-character texts, whatever the lanes, equal a plain greedy parse."""
+    monkeypatch.setattr(langid, "LANE", lane)
+    samples = {"x": "ab" * 50 + "the cat sat on the mat and the dog", "y": "le chat est sur le tapis et le chien"}
+    parser = langid.CrossParser(samples)
+    parser.trained = {k: parser.encode(langid.code_points(v)).tolist() for k, v in samples.items()}
+    dice = random.Random(7)
+    texts = ["ab" * 5000, "".join(dice.choices("the cats lex zq", k=10_000)), "", "the mat and the " * 700, "a", "q" * 3000, "the cat sat on the ma" * 400]
+    coded = [parser.encode(langid.code_points(t)) for t in texts]
+    got = parser.phrases(coded)
+    for k, c in enumerate(coded):
+        s = "".join(map(chr, c.tolist()))
+        assert got[:, k].tolist() == [naive_phrases(parser, lang, s) for lang in parser.langs]
+
+
+def test_tables_follow_the_transitions_not_the_alphabet():
+    """A language of 2,500 letters beside one of 26: the tables stay small."""
+    dice = random.Random(3)
+    samples = {"zh": "".join(chr(0x4E00 + int(2500 * dice.random() ** 2)) for _ in range(20_000)), "en": "".join(dice.choices("abcdefgh ijk", k=20_000))}
+    parser = langid.CrossParser(samples)
+    assert sum(x.nbytes for x in (parser.base, parser.owner, parser.target, parser.first)) < 10_000_000
+    assert [x for x, _ in parser.predict([samples["zh"][300:900], samples["en"][50:90], "12 34"])] == ["zh", "en", "und"]
+
+
+def test_samples_are_whole_texts(spark):
+    rows = [(i, "en", f"text number {i} " * 20) for i in range(40)] + [(100, "long", "x" * 500), (101, "long", "y" * 300 + " z"), (103, "en", "w" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = langid.training_samples(docs, 10, 2000, 400)
+    texts = {r[2] for r in rows if r[1] == "en" and len(r[2]) <= 400 and zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert all(x in texts for x in got["en"].split("\n")) and 1500 < len(got["en"]) <= 2010
+    assert got["long"] == ("y" * 300 + " z" if zlib.crc32(b"101") % 4 != 2 else "x" * 500)
 
 
 def test_held_out_accuracy(documents):
