@@ -353,9 +353,11 @@ def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
 
 
 def sampled_pages(pages: DataFrame, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Html of ``limit`` pages (lowest hash of page_id) of up to ``chars`` characters."""
-    able = pages.where(F.length("html") <= chars).select(F.xxhash64("page_id").alias("k"), "html")
-    return [r.html for r in able.orderBy("k", "html").limit(limit).collect()]
+    """Html of ``limit`` pages (lowest hash of page_id and html) of up to ``chars`` characters."""
+    able = pages.where(F.length("html") <= chars).select(F.xxhash64("page_id", "html").alias("k"), "html")
+    names = [r.k for r in able.select("k").distinct().orderBy("k").limit(limit).collect()]
+    rows = able.where(F.col("k") <= names[-1]).dropDuplicates(["k"]).collect() if names else []
+    return [r.html for r in sorted(rows)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
