@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import Workspace, small_side, spread
@@ -208,12 +208,62 @@ def near_duplicates(docs: DataFrame, space: Workspace, width: int = SHINGLE_WORD
     return signed.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_TOPS = np.uint64(0x8080808080808080)
+#: What has features just beyond a power of two of blocks is filed under half as many blocks, too.
+EDGE = 1.25
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def block_keys(h: np.ndarray, owner: np.ndarray, n: np.ndarray, per: int, least: int, filed: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line) of the pigeonhole blocks of lines: h are features, owner their lines, n the features of each line.
+
+    Each block is the SimHash of the features that their own hash deals to it, so an
+    edit touches the blocks of its features only, and what has fewer edits than blocks
+    shares one. There are so many blocks that one gets ``per`` features on average or
+    half of it; the first ``filed`` of them with ``least`` features are keys."""
+    level = np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / per) - 1e-9)).astype(np.int64)
+    lower = (level > 1) & (n <= EDGE * per * 2.0 ** (level - 1))
+    keys, lines = [], []
+    for down in (0, 1):
+        if down:
+            mine = lower[owner]
+            h, owner = h[mine], owner[mine]
+        now = level - down
+        block = (h >> np.uint64(20)).astype(np.int64) & ((1 << now) - 1)[owner]
+        used = block < filed
+        flat = owner[used] * filed + block[used]
+        order = np.argsort(flat)
+        flat, x = flat[order], h[used][order]
+        if not len(flat):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        size = np.diff(np.append(starts, len(flat)))
+        most = ((np.uint64(127) - np.minimum(size // 2, 127).astype(np.uint64))) * _LANES
+        value = np.zeros(len(starts), dtype=np.uint64)
+        for shift in range(8):  # bits set in over half of the features, eight bits at a time
+            summed = np.add.reduceat((x >> np.uint64(shift)) & _LANES, starts)
+            value |= (((summed + most) & _TOPS) >> np.uint64(7)) << np.uint64(shift)
+        full = size >= least
+        at, value = flat[starts][full], value[full]
+        line = at // filed
+        name = ((now[line] * filed + at % filed) * 8 + salt).astype(np.uint64)
+        keys.append(scramble((value ^ scramble(name * ODD)) * ODD))
+        lines.append(line)
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(lines)
+
+
 #: What the stage takes for the same text: shingles of five words, exact Jaccard similarity.
 STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
-#: Bands of three MinHashes: at 0.8 a pair shares none of them once in 36,000 times.
-STAGE_BANDS, BAND = 14, 3
-_DRAWS = (np.random.default_rng(9).integers(1, 1 << 63, STAGE_BANDS * BAND, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Shingles of a block, at least so many for a key, and blocks filed: at 0.8 a pair of texts of 100
+#: words or more shares none of them about once in a thousand times.
+STAGE_PER_BLOCK, STAGE_LEAST, STAGE_FILED = 4, 2, 14
 
 
 def shingle_hashes(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
@@ -225,23 +275,25 @@ def shingle_hashes(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
     width = min(width, len(w))
     h = np.zeros(len(w) - width + 1, dtype=np.uint64)
     for i in range(width):
-        h = (h ^ w[i : len(w) - width + 1 + i]) * _ODD
+        h = (h ^ w[i : len(w) - width + 1 + i]) * ODD
         h ^= h >> np.uint64(31)
         h *= _MIX
         h ^= h >> np.uint64(29)
     return np.unique(h)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One key of each band of MinHashes."""
-    low = np.array([((shingles * m) >> np.uint64(32)).min() for m in _DRAWS], dtype=np.uint64).reshape(STAGE_BANDS, BAND)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low)]
+def text_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a text: its pigeonhole blocks, and all its shingles together."""
+    n = len(shingles)
+    if not n:
+        return np.empty(0, np.int64)
+    key, _ = block_keys(shingles, np.zeros(n, np.int64), np.array([n]), STAGE_PER_BLOCK, STAGE_LEAST, STAGE_FILED, 3)
+    return np.append(key, scramble(np.bitwise_xor.reduce(scramble(shingles)) + np.uint64(n))[None]).view(np.int64)
 
 
-def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingle_hashes(t.as_py()) for t in batch.column(1)]
-        keys = [np.array(band_keys(x), dtype=np.uint64).view(np.int64) if len(x) else np.empty(0, np.int64) for x in found]
+        keys = [text_keys(shingle_hashes(t.as_py())) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["body", "keys"])
 
 
@@ -251,27 +303,30 @@ def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _root_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, body, root) in runs of keys to the pairs of bodies that have different roots."""
-    for tab in grouped_runs(batches):
-        keys, body, root = (tab.column(i).to_numpy() for i in range(3))
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            b, r = body[cuts[k] : cuts[k + 1]], root[cuts[k] : cuts[k + 1]]
-            for at in range(0, len(b), DENSE):
-                i, j = np.nonzero(r[at : at + DENSE, None] != r[None, at:])
-                i, j = i[i < j] + at, j[i < j] + at
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b[i], b[j])), pa.array(np.maximum(b[i], b[j]))], ["a", "b"])
+    """Rows (key, body, root) in runs of keys to pairs of bodies: the smallest body of each root with that of the next root."""
+    for tab in grouped_runs(batches, least=50_000):
+        key, body, root = (tab.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((body, root, key))
+        key, body, root = key[order], body[order], root[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (root[1:] != root[:-1])
+        key, body = key[first], body[first]
+        i = np.flatnonzero(key[1:] == key[:-1])
+        if len(i):
+            both = np.unique(np.sort(np.stack([body[i], body[i + 1]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
 def similar_texts(docs: DataFrame, space: Workspace, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """(node, root) of the texts, named by their xxhash64, that links of the Jaccard similarity of word shingles connect.
 
-    ``docs`` has body and text. Under a band key every text is first held against the
-    one of the smallest name; then all pairs under a key that are not yet in one group."""
+    ``docs`` has body and text. Texts meet under a pigeonhole block of their shingles'
+    SimHash. Every text under a key is first held against the one of the smallest name,
+    then the groups under a key against each other in a row, so that pairs grow with
+    the texts and not with their square."""
     texts = spread(docs.where("text is not null"))
-    once = texts.mapInArrow(_band_rows, "body long, keys array<long>").groupBy("body").agg(F.first("keys").alias("keys"))
-    filed = space.write(once.select("body", F.explode("keys").alias("key")), "bands")
+    once = texts.mapInArrow(_key_rows, "body long, keys array<long>").groupBy("body").agg(F.first("keys").alias("keys"))
+    filed = space.write(once.select("body", F.explode("keys").alias("key")), "blocks")
     least = filed.groupBy("key").agg(F.min("body").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     shared = space.write(filed.join(least, "key"), "shared")
     pairs = space.write(shared.where("body <> a").select("a", F.col("body").alias("b")).distinct(), "pairs-1")
@@ -294,32 +349,35 @@ def similar_texts(docs: DataFrame, space: Workspace, similarity: float = STAGE_S
     return space.write(components(links, space, "near-2"), "near-roots-2")
 
 
-def same_texts(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(doc_id, component_id) of every row, component_id the smallest doc_id of its group of similar texts.
-
-    Null and wordless texts are one group, as they all have no shingle."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    worded = F.coalesce(F.rlike("text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
-    named = plain.select("doc_id", F.when(worded, F.xxhash64("text")).otherwise(0).alias("body"), F.when(worded, F.col("text")).alias("text"))
-    roots = similar_texts(named.select("body", "text"), space)
-    slim = named.select("doc_id", "body")
-    groups = slim.groupBy("body").agg(F.min("doc_id").alias("first")).join(small_side(roots.withColumnRenamed("node", "body"), 24), "body", "left").select("body", "first", F.coalesce("root", "body").alias("root"))
-    label = groups.join(groups.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("body", "component_id")
-    return slim.join(label, "body").select("doc_id", "component_id")
+def _body(text: Column) -> Column:
+    """By what the stage tells texts apart; 0 for null and wordless ones."""
+    worded = F.coalesce(F.rlike(text.cast("string"), F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
+    return F.when(worded, F.xxhash64(text.cast("string"))).otherwise(F.lit(0))
 
 
 def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
-    """One row of each group of near-duplicates, all columns kept: the one with the smallest doc_id.
-
-    Rows that share that id count as one document, of which the smallest row stays.
-    Rows without an id stay only where no row of their group has one."""
-    marked = space.write(same_texts(docs, space), "marked")
-    gone = small_side(space.write(marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct(), "gone"), 16)
-    # A null id is in a group of its own kind or not: its rows go only if all of them have to.
-    lone = marked.where("doc_id is null and component_id is null").isEmpty()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) if lone else F.col("doc_id") == F.col("__id")
-    kept = docs.join(gone, same, "left_anti")
-    if marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("r")).select("r.*")
-    return named.unionByName(kept.where("doc_id is null"))
+    """One row of each group of near-duplicate texts, all columns kept.
+
+    It is the row with the smallest doc_id (null last), of those the one of the
+    smallest text hash, of those the smallest row. Texts make the groups, so rows that
+    share an id are told apart and none goes for another's sake. Null and wordless
+    texts are one group, as they all have no shingle. An empty table gives an empty
+    result; a very long text is one array of shingle hashes."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body(docs["text"]).alias("body"))
+    texts = docs.select(_body(docs["text"]).alias("body"), F.col("text").cast("string").alias("text")).where("body <> 0")
+    roots = similar_texts(texts, space)
+    rooted = space.write(rows.join(small_side(roots.withColumnRenamed("node", "body"), 24), "body", "left").select("doc_id", "body", F.coalesce("root", "body").alias("root")), "rooted")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    keep = space.write(rooted.groupBy("root").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep"), "keep")
+    # Groups of many copies are hot keys; the join has nothing above it that needs them together, so AQE splits it.
+    member = space.write(rooted.join(keep, "root").select("doc_id", "body", (place == F.col("keep")).alias("kept")), "members")
+    gone = space.write(member.where("not kept").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_body(docs["text"]) == F.col("__body"))
+    left = docs.join(small_side(gone, 24), same, "left_anti")
+    # Rows that repeat both the id and the text of a kept one are still there.
+    again = space.write(member.where("kept").groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")), "again")
+    if again.isEmpty():
+        return left
+    again = small_side(again, 24)
+    once = left.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("__id"), _body(F.col("text")).alias("__body")).agg(F.min(F.struct(*left.columns)).alias("__row")).select("__row.*")
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -76,16 +76,62 @@ def test_components_of_random_graphs(spark, space_of):
     assert got == want
 
 
-def test_one_of_each(edge_docs, space_of):
-    rows = [r for r in edge_docs.collect()]
+def jaccard_groups(rows):
+    """Smallest row of each group of texts by all pairs' Jaccard similarity of five-word shingles."""
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        n = min(5, len(w))
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+    texts = sorted({r[1] for r in rows}, key=str)
+    sets = {t: shingles(t) for t in texts}
+    up = {t: t for t in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            x, y = sets[a], sets[b]
+            if not x and not y or x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                up[root(a)] = root(b)
+    groups = {}
+    for r in rows:
+        groups.setdefault(root(r[1]), []).append(r)
+    return groups.values()
+
+
+def kept_ids(groups):
+    return sorted(min((r[0] is None, r[0] or 0) for r in g) for g in groups)
+
+
+def test_one_of_each_against_brute_force(spark, space_of):
+    """The expectation uses the rows alone; ids repeat and are null."""
+    dice = random.Random(12)
+    bases = [[f"w{dice.randrange(3000)}" for _ in range(dice.choice([1, 3, 6, 30, 120, 300]))] for _ in range(40)]
+    rows = [(3, "A text"), (5, "A text"), (5, "B other"), (None, "B other"), (None, "C alone"), (7, None), (8, " "), (None, "D"), (None, "D")]
+    for _ in range(150):
+        words = list(dice.choice(bases))
+        for _ in range(dice.choice([0, 0, 1, 2, 5])):
+            words[dice.randrange(len(words))] = f"x{dice.randrange(1000)}"
+        rows.append((dice.choice([None, *range(10, 90)]), " ".join(words)))
+    rows += rows[:5]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = simhash.one_of_each(docs, space_of("s")).collect()
+    groups = jaccard_groups(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == kept_ids(groups)
+    assert {(r.doc_id, r.text) for r in got} <= set(rows) and len(got) == len(groups)
+    assert all(sum((r.doc_id, r.text) in set(g) for r in got) >= 1 for g in groups)
+
+
+def test_one_of_each_on_edges(edge_docs, no_docs, space_of):
     kept = simhash.one_of_each(edge_docs, space_of("s"))
     assert kept.columns == edge_docs.columns
-    groups = {}
-    for d, f, c in naive_groups([(r.doc_id, r.text) for r in rows]):
-        groups.setdefault(c, set()).add(d)
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted(c for c in groups if c is not None and c in {c2 for c2 in ids})
-    assert {c for c in groups if c is not None} >= set(ids) and len(ids) == len(set(ids))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == kept_ids(jaccard_groups([(r.doc_id, r.text) for r in edge_docs.collect()]))
+    assert simhash.one_of_each(no_docs, space_of("s")).count() == 0
 
 
 def test_bit_counts_of_long_runs():
