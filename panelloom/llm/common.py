@@ -3,10 +3,13 @@ inputs over the cores, and checked broadcasts."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,18 +72,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+_HELD: dict[str, object] = {}
 
 
-_HELD: dict[str, object] = {}
+def release() -> None:
+    """Give what a Python worker holds of earlier operators back to the system, as Spark uses a worker again for the next one."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def held(name: str, make: Callable[[], object]) -> object:
-    """Tables and word caches of a Python worker: kept from task to task, but of one
-    operator at a time, as Spark uses a worker again for the next operator."""
+    """Tables and word caches of a Python worker: kept from task to task, but of one operator at a time."""
     if name not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[name] = make()
     return _HELD[name]
 

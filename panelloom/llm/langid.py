@@ -13,14 +13,13 @@ import math
 import random
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import held, id_hash_mod, spread
+from panelloom.llm.common import id_hash_mod, release, spread
 
 FOLDS, HELD_OUT = 4, 2
 #: The automata are fitted on at most this many documents and characters of each language, whole texts all of them.
@@ -36,7 +35,6 @@ UNDETERMINED = "und"
 _SPACE, _UNKNOWN = 1, 0
 
 
-@lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
     """Of every code point: 1 letter, 2 mark, 0 other."""
     first = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
@@ -115,7 +113,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        kinds = _kinds()
+        self.kinds = kinds = _kinds()
         points = {k: code_points(v) for k, v in samples.items()}
         seen = sorted({int(x) for p in points.values() for x in np.unique(p) if kinds[x]})
         self.classes = np.where(kinds > 0, _UNKNOWN, _SPACE).astype(np.uint16 if len(seen) < 65_000 else np.uint32)
@@ -230,11 +228,10 @@ class CrossParser:
         return out + self._predict(part)
 
     def _predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        kinds = _kinds()
         lettered, coded = [], []
         for t in texts:
             points = code_points(t)
-            lettered.append(bool(np.any(kinds[points] == 1)))
+            lettered.append(bool(np.any(self.kinds[points] == 1)))
             coded.append(self.encode(points))
         cost = self.phrases(coded) * np.array(self.weight, dtype=float).reshape(-1, 1)
         out = []
@@ -248,8 +245,9 @@ class CrossParser:
         return out
 
 
-def _parser(samples: dict[str, str]) -> CrossParser:
-    return held(f"langid-{hash(tuple(sorted(samples.items())))}", lambda: CrossParser(samples))
+def _shared(docs: DataFrame, samples: dict[str, str]):
+    """The parser, built once and sent to the workers; its size follows the sample's bound and the number of languages."""
+    return docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
 
 
 def training_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_text: int = SAMPLE_TEXT) -> dict[str, str]:
@@ -287,11 +285,12 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, keep: tuple
     alphabetic order. Whole texts are parsed, very long ones by themselves in lanes
     that are joined to one parse; a row that repeats is returned again; an empty
     table gives an empty result."""
-    samples = training_samples(docs) if samples is None else samples
+    shared = _shared(docs, training_samples(docs) if samples is None else samples)
     types = dict(docs.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(samples)
+        release()
+        parser = shared.value
         for batch in batches:
             found = parser.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64()), *batch.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *keep])
@@ -305,11 +304,12 @@ def of_known_language(docs: DataFrame, samples: dict[str, str] | None = None) ->
     """The rows of docs whose language is determined, with all their columns as they are.
 
     Rows of null text or without a letter go; every other row stays, repeats included."""
-    samples = training_samples(docs) if samples is None else samples
+    shared = _shared(docs, training_samples(docs) if samples is None else samples)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(samples)
+        release()
+        parser = shared.value
         for batch in batches:
             yield batch.filter(pa.array([x != UNDETERMINED for x, _ in parser.predict(batch.column(at).to_pylist())], pa.bool_()))
 

@@ -1,7 +1,10 @@
 """Unigram segmentation over a double-array trie, with byte fallback.
 
-The vocabulary (pieces with log scores) is read from a SentencePiece model
-file. A text is normalised as the model says (white space to the marker, a
+The vocabulary (pieces with scores) is read from a SentencePiece model file, and
+its scores are taken for log probabilities. In a file of a merge vocabulary, such
+as the one of the registered query, they are negated merge ranks: the best-scoring
+sequence is then the one of the smallest sum of ranks, which the library's own
+merges need not choose. A text is normalised as the model says (white space to the marker, a
 dummy marker in front), cut where runs of markers begin, and every cut, which
 no piece spans, gets its best-scoring sequence of pieces by Viterbi. Characters
 outside the vocabulary become byte pieces, or the unknown piece where the model
@@ -25,7 +28,8 @@ from panelloom.llm.common import held, spread
 MARK = "▁"
 #: The penalty below the lowest score that an unknown character costs.
 UNKNOWN_PENALTY = 10.0
-CACHE_CUTS = 300_000
+#: Cuts that a worker keeps, of up to so many characters.
+CACHE_CUTS, KEPT_CUT = 200_000, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -212,15 +216,17 @@ class UnigramPieces:
 
 
 class _Cuts(dict):
-    """Ids of the cuts seen, found by Viterbi where missing."""
+    """Ids of the cuts seen, found by Viterbi where missing; long cuts are not kept."""
 
     def __init__(self, codec: UnigramPieces):
         self.codec = codec
 
     def __missing__(self, cut: str) -> bytes:
-        if len(self) >= self.codec.limit:
-            self.clear()
-        ids = self[cut] = np.array(self.codec.viterbi(cut), dtype="<u4").tobytes()
+        ids = np.array(self.codec.viterbi(cut), dtype="<u4").tobytes()
+        if len(cut) <= KEPT_CUT:
+            if len(self) >= self.codec.limit:
+                self.clear()
+            self[cut] = ids
         return ids
 
 
@@ -243,7 +249,9 @@ def piece_table(docs: DataFrame, model: str, keep: tuple[str, ...] = (), with_id
     32-bit integers), round_trip (the decoded text equals the input), then ``keep``
     and, if wanted, the ids as binary. Null and empty texts have no pieces and
     decode to the empty text (round_trip is true for both). Repeated rows are
-    each returned; an empty table gives an empty result.
+    each returned; an empty table gives an empty result. A very long text is cut as
+    others are; a cut without spaces is segmented whole, in time and memory in
+    proportion to its length. Of sequences that score the same the first found holds.
     """
     types = dict(docs.dtypes)
     out = "doc_id long, n_pieces int, n_byte_pieces int, ids_crc32 long, round_trip boolean" + "".join(f", `{c}` {types[c]}" for c in keep) + (", ids binary" if with_ids else "")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Workspace, small_side, spread
+from panelloom.llm.common import Workspace, release, small_side, spread
 from panelloom.llm.graph import components, forest
 
 SEED = 42
@@ -292,6 +292,7 @@ def text_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         keys = [text_keys(shingle_hashes(t.as_py())) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["body", "keys"])
