@@ -50,3 +50,8 @@ def yes_no(c: Column) -> Column:
 #: Labels of the factors in reports (fixed values).
 FACTOR_LABELS = {"return_r2": "收益率×R平方", "return_vol": "收益率÷波动率"}
 SCORE_COLUMNS = {"return_r2": "return_r2", "return_vol": "return_vol"}
+
+
+def factor_label(column: Column) -> Column:
+    """Report label of a factor's name; another name is an error when it is met."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in FACTOR_LABELS.items() for x in pair]), column), F.raise_error(F.concat(F.lit("unknown factor "), column)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.config import TOLERANCE
+from panelloom.config import TOLERANCE, validate
 from panelloom.functions.scalars import ratio
 from panelloom.operators.universe import largest_by
 
@@ -41,7 +41,11 @@ def linkage(codes: list[str], dist: np.ndarray, threshold: float) -> dict[str, i
 
 
 def complete_linkage(codes: DataFrame, pairs: DataFrame, thresholds: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, corr_threshold, index_code, cluster_id). One task for each selection and threshold: a matrix of some fifty indexes."""
+    """(keys, corr_threshold, index_code, cluster_id). One task for each selection and threshold: a matrix of some fifty indexes.
+
+    Thresholds other than the configured ones are an error."""
+    for t in thresholds:
+        validate(correlation_threshold=t)
     spark = codes.sparkSession
     cuts = spark.createDataFrame([(float(t),) for t in thresholds], "corr_threshold double")
     one = F.lit(0.0).alias("dist")

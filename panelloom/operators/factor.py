@@ -81,7 +81,13 @@ def price_intervals(snapshots: DataFrame, bars: DataFrame, before: int = 60) ->
     ends = pool_ranges(snapshots).select("selection_date", F.coalesce("next_date", "selection_date").alias("end_date"))
     numbered = bars.select("index_code", "date", "close").withColumn("k", F.row_number().over(Window.partitionBy("index_code").orderBy("date")))
     pool = snapshots.select("selection_date", "index_code").distinct().join(ends, "selection_date")
-    span = pool.join(numbered, "index_code").groupBy("selection_date", "end_date", "index_code").agg(F.max(F.when(F.col("date") <= F.col("selection_date"), F.col("k"))).alias("last"), F.max(F.when(F.col("date") <= F.col("end_date"), F.col("k"))).alias("stop"))
+    # As of a pool's two dates: dates and closes in one column of an index, the last close seen so far.
+    asked = pool.select("index_code", "selection_date", "end_date", F.inline(F.array(F.struct(F.col("selection_date").alias("date"), F.lit("last").alias("what")), F.struct(F.col("end_date").alias("date"), F.lit("stop").alias("what")))))
+    none = {"k": F.lit(None).cast("int"), "side": F.lit(2)}
+    closes = numbered.select("index_code", F.lit(None).cast("date").alias("selection_date"), F.lit(None).cast("date").alias("end_date"), "date", F.lit(None).cast("string").alias("what"), "k", F.lit(1).alias("side"))
+    seen = F.last("k", ignorenulls=True).over(Window.partitionBy("index_code").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = asked.withColumns(none).unionByName(closes).withColumn("seen", seen).where("side = 2")
+    span = found.groupBy("selection_date", "end_date", "index_code").agg(F.max(F.when(F.col("what") == "last", F.col("seen"))).alias("last"), F.max(F.when(F.col("what") == "stop", F.col("seen"))).alias("stop"))
     wanted = span.where("last is not null").select("selection_date", "end_date", "index_code", F.explode(F.sequence(F.greatest(F.col("last") - before, F.lit(1)), F.col("stop"))).alias("k"))
     return wanted.join(numbered, ["index_code", "k"]).select("selection_date", "end_date", "index_code", "date", "close")
 

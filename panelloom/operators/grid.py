@@ -38,11 +38,6 @@ def input_keys(cases: DataFrame) -> DataFrame:
     return factor.unionByName(price)
 
 
-def _best(rows: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """The code with the best score of each group, ties to the smaller code; by a partial aggregate, no sort."""
-    return rows.groupBy(*keys).agg(F.min_by("index_code", F.struct(-F.round(score, 10), "index_code")).alias("index_code"))
-
-
 def total_returns(choices: DataFrame, prices: DataFrame, cells: Sequence[str], rate: float = config.COST_RATE) -> DataFrame:
     """log_return and total_return of every cell that holds its one chosen index from close to close.
 
@@ -65,8 +60,12 @@ def bias_choices(candidates: DataFrame, metrics: DataFrame, windows: Sequence[in
     candidates: (date, index_code, method, score); metrics: bias_n for every window, computed once."""
     config.validate_grid(windows, uppers)
     long = candidates.join(metrics.select("date", "index_code", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"bias_{n}").alias("bias")) for n in windows])).alias("m")).select("date", "index_code", "m.*"), ["date", "index_code"])
-    passing = long.where("bias is not null").select("date", "index_code", "method", "score", "window", F.explode(F.filter(F.array(*map(F.lit, uppers)), lambda u: F.col("bias") <= u + config.TOLERANCE)).alias("level"))
-    return _best(passing, ["method", "window", "level", "date"], "score")
+    # In order of score a candidate is the choice of the levels from its bias up to the lowest bias before it.
+    order = Window.partitionBy("method", "window", "date").orderBy(F.round("score", 10).desc(), "index_code")
+    lowest = F.min("bias").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stairs = long.where("bias is not null").withColumn("lowest", lowest).where("lowest is null or bias < lowest")
+    mine = F.filter(F.array(*map(F.lit, uppers)), lambda u: (F.col("bias") <= u + config.TOLERANCE) & (F.col("lowest").isNull() | (F.col("lowest") > u + config.TOLERANCE)))
+    return stairs.select("date", "index_code", "method", "window", F.explode(mine).alias("level"))
 
 
 def volatility_choices(candidates: DataFrame, metrics: DataFrame, windows: Sequence[int], shares: Sequence[float]) -> DataFrame:
@@ -75,9 +74,13 @@ def volatility_choices(candidates: DataFrame, metrics: DataFrame, windows: Seque
     long = candidates.join(metrics.select("date", "index_code", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"vol_{n}").alias("vol")) for n in windows])).alias("m")).select("date", "index_code", "m.*"), ["date", "index_code"])
     w = Window.partitionBy("method", "window", "date")
     ordered = long.where("vol is not null").withColumn("place", F.row_number().over(w.orderBy(F.round("vol", 10).desc(), "index_code"))).withColumn("n", F.count("*").over(w))
-    keep = F.array_compact(F.array(*[F.when(F.col("place") <= keep_count(F.col("n"), s), F.lit(s)) for s in shares]))
-    passing = ordered.select("date", "index_code", "method", "score", "window", F.explode(keep).alias("level"))
-    return _best(passing, ["method", "window", "level", "date"], "score")
+    # From the most volatile on, a candidate with the best score so far is the choice of the shares that end before the next such.
+    near = w.orderBy("place")
+    best = F.min(F.struct((-F.round("score", 10)).alias("s"), "index_code"))
+    so_far = ordered.withColumn("best", best.over(near.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("best.index_code") == F.col("index_code"))
+    until = F.coalesce(F.lead("place").over(near) - 1, F.col("n"))
+    shared = F.filter(F.array(*map(F.lit, shares)), lambda s: keep_count(F.col("n"), s).between(F.col("place"), F.col("until")))
+    return so_far.withColumn("until", until).select("date", "index_code", "method", "window", F.explode(shared).alias("level"))
 
 
 def heatmap(returns: DataFrame, windows: Sequence[int], value: str = "total_return") -> DataFrame:

@@ -18,7 +18,7 @@ from panelloom.sources import panel
 from panelloom.streaming import bars as stream_bars
 
 START = "1996-01-01"
-CLUSTER_THRESHOLDS = {"02": 0.2, "07": 0.7, "08": 0.8, "09": 0.9}
+CLUSTER_THRESHOLDS = {"07": 0.7, "08": 0.8, "09": 0.9}
 GRID_BIAS = ((12, 24, 36, 48, 60), (-0.02, 0.0, 0.03, 0.06, 0.09, 0.15))
 GRID_VOL = ((6, 12, 18, 36), (0.25, 0.55, 0.8, 1.0))
 
@@ -430,6 +430,7 @@ def stagger_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Daily closes of a brand are averages of a few trades, too noisy to hold: navs are of the monthly panel.
 NAV_WINDOW = 10
+MONTHS_A_YEAR = 12
 
 
 def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,13 +502,14 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {NAV_CLOSE}, {DRAW}, agg AS (SELECT MIN(date) AS start_date, MAX(date) AS end_date, COUNT(*) AS n_days, ARG_MIN(nav, date) AS a, ARG_MAX(nav, date) AS b, STDDEV_SAMP(daily_return) AS sd, AVG(daily_return) AS mu,
-  SQRT(AVG(POW(LEAST(daily_return, 0.0), 2))) AS down, MIN(drawdown) AS max_drawdown, (COUNT(*) - 1) / 252.0 AS years FROM (SELECT *, CASE WHEN daily_return IS NULL THEN NULL ELSE daily_return END AS x FROM dd))
-  SELECT start_date, end_date, n_days, ROUND(LN(b / a), 6) + 0.0 AS log_return, ROUND(POW(b / a, 1 / years) - 1, 6) + 0.0 AS annual_return, ROUND(sd * SQRT(252.0), 6) AS annual_volatility, ROUND(mu / sd * SQRT(252.0), 6) + 0.0 AS sharpe,
-  ROUND(mu / down * SQRT(252.0), 6) + 0.0 AS sortino, ROUND(max_drawdown, 6) + 0.0 AS max_drawdown, ROUND((POW(b / a, 1 / years) - 1) / -max_drawdown, 6) + 0.0 AS calmar FROM agg""")
+  SQRT(AVG(POW(LEAST(daily_return, 0.0), 2))) AS down, MIN(drawdown) AS max_drawdown, ARG_MIN(date, ROUND(drawdown, 10)) AS max_drawdown_date, (COUNT(*) - 1) / 12.0 AS years FROM (SELECT *, CASE WHEN daily_return IS NULL THEN NULL ELSE daily_return END AS x FROM dd ORDER BY date))
+  SELECT start_date, end_date, n_days, ROUND(LN(b / a), 6) + 0.0 AS log_return, ROUND(POW(b / a, 1 / years) - 1, 6) + 0.0 AS annual_return, ROUND(sd * SQRT(12.0), 6) AS annual_volatility, ROUND(mu / sd * SQRT(12.0), 6) + 0.0 AS sharpe,
+  ROUND(mu / down * SQRT(12.0), 6) + 0.0 AS sortino, ROUND(max_drawdown, 6) + 0.0 AS max_drawdown, ROUND((POW(b / a, 1 / years) - 1) / -max_drawdown, 6) + 0.0 AS calmar,
+  (SELECT MIN(date) FROM nav WHERE nav.nav = (SELECT peak FROM dd WHERE dd.date = agg.max_drawdown_date)) AS max_drawdown_start, max_drawdown_date FROM agg""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = metrics.performance(_nav(spark, sf_dir)).withColumn("log_return", F.log("final_nav") - F.log("initial_nav"))
+    p = metrics.performance(_nav(spark, sf_dir), periods=MONTHS_A_YEAR).withColumn("log_return", F.log("final_nav") - F.log("initial_nav"))
     out = ("annual_return", "annual_volatility", "sharpe", "sortino", "max_drawdown", "calmar", "log_return")
-    return _round(p.select("start_date", "end_date", "n_days", *out), *out)
+    return _round(p.select("start_date", "end_date", "n_days", *out, "max_drawdown_start", "max_drawdown_date"), *out)
 
 
 ALL = "allp AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, AVG(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1)"
@@ -516,20 +518,20 @@ REL = f"""{NAV_CLOSE}, {ALL}, bench AS (SELECT nav.date, allp.close / FIRST_VALU
   rel2 AS (SELECT *, rel / MAX(rel) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS down FROM rel)"""
 
 
-@_query(f"""WITH {REL}, g AS (SELECT (COUNT(*) - 1) / 252.0 AS years, ARG_MAX(nav, date) / ARG_MIN(nav, date) AS s, ARG_MAX(benchmark_nav, date) / ARG_MIN(benchmark_nav, date) AS b, ARG_MAX(rel, date) / ARG_MIN(rel, date) AS e, STDDEV_SAMP(x) AS sd, AVG(x) AS mu, MIN(down) AS down FROM rel2)
-  SELECT ROUND(POW(b, 1 / years) - 1, 6) + 0.0 AS benchmark_annual_return, ROUND(POW(s, 1 / years) - POW(b, 1 / years), 6) + 0.0 AS excess_annual_return, ROUND(sd * SQRT(252.0), 6) AS tracking_error, ROUND(mu / sd * SQRT(252.0), 6) + 0.0 AS information_ratio, ROUND(down, 6) + 0.0 AS excess_max_drawdown, ROUND(e - 1, 6) + 0.0 AS excess_cumulative FROM g""")
+@_query(f"""WITH {REL}, g AS (SELECT (COUNT(*) - 1) / 12.0 AS years, ARG_MAX(nav, date) / ARG_MIN(nav, date) AS s, ARG_MAX(benchmark_nav, date) / ARG_MIN(benchmark_nav, date) AS b, ARG_MAX(rel, date) / ARG_MIN(rel, date) AS e, STDDEV_SAMP(x) AS sd, AVG(x) AS mu, MIN(down) AS down FROM rel2)
+  SELECT ROUND(POW(b, 1 / years) - 1, 6) + 0.0 AS benchmark_annual_return, ROUND(POW(s, 1 / years) - POW(b, 1 / years), 6) + 0.0 AS excess_annual_return, ROUND(sd * SQRT(12.0), 6) AS tracking_error, ROUND(mu / sd * SQRT(12.0), 6) + 0.0 AS information_ratio, ROUND(down, 6) + 0.0 AS excess_max_drawdown, ROUND(e - 1, 6) + 0.0 AS excess_cumulative FROM g""")
 def relative_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = _nav(spark, sf_dir)
     bars = panel.table(spark, sf_dir, "lineitem").groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    r = metrics.relative_performance(nav, metrics.benchmark_nav(bars, nav))
+    r = metrics.relative_performance(nav, metrics.benchmark_nav(bars, nav), MONTHS_A_YEAR)
     out = ("benchmark_annual_return", "excess_annual_return", "tracking_error", "information_ratio", "excess_max_drawdown", "excess_cumulative")
     return _round(r.select(*out), *out)
 
 
 @_query(f"""WITH {NAV_CLOSE}, {DRAW}, y AS (SELECT *, EXTRACT(YEAR FROM date) AS year, LAG(nav) OVER (ORDER BY date) AS before FROM dd), z AS (SELECT *, nav / MAX(nav) OVER (PARTITION BY year ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS yd FROM y)
-  SELECT CAST(year AS INT) AS year, COUNT(*) AS n_days, ROUND(ARG_MAX(nav, date) / COALESCE(ARG_MIN(before, date), ARG_MIN(nav, date)) - 1, 6) + 0.0 AS year_return, ROUND(STDDEV_SAMP(daily_return) * SQRT(252.0), 6) AS year_volatility, ROUND(MIN(yd), 6) + 0.0 AS year_max_drawdown FROM z GROUP BY year""")
+  SELECT CAST(year AS INT) AS year, COUNT(*) AS n_days, ROUND(ARG_MAX(nav, date) / COALESCE(ARG_MIN(before, date), ARG_MIN(nav, date)) - 1, 6) + 0.0 AS year_return, ROUND(STDDEV_SAMP(daily_return) * SQRT(12.0), 6) AS year_volatility, ROUND(MIN(yd), 6) + 0.0 AS year_max_drawdown FROM z GROUP BY year""")
 def annual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(metrics.annual_metrics(_nav(spark, sf_dir)), "year_return", "year_volatility", "year_max_drawdown")
+    return _round(metrics.annual_metrics(_nav(spark, sf_dir), periods=MONTHS_A_YEAR), "year_return", "year_volatility", "year_max_drawdown")
 
 
 # --- grids and matrices

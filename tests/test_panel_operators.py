@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import cluster, factor, metrics, returns, select, simulate, universe
+from panelloom.functions import scalars
+from panelloom.operators import cluster, factor, grid, metrics, returns, select, simulate, universe
 from panelloom.sources import panel, sinks
 
 D = dt.date
@@ -275,3 +277,45 @@ def test_stream_of_events_gives_the_batch_bars(spark, tmp_path, sf_dir):
     finally:
         q.stop()
     assert values(spark.table("bars"), "date", "event_type", "n_events") == values(daily_event_bars(events), "date", "event_type", "n_events")
+
+
+def test_linkage_takes_configured_thresholds_only(spark):
+    codes = spark.createDataFrame([("A",)], "index_code string")
+    pairs = spark.createDataFrame([], "code_a string, code_b string, dist double")
+    with pytest.raises(ValueError, match="correlation_threshold"):
+        cluster.complete_linkage(codes, pairs, (0.75,))
+
+
+def test_periods_a_year_and_drawdown_start(spark):
+    nav = spark.createDataFrame([(D(2021, m, 1), x) for m, x in enumerate([1.0, 1.2, 1.2, 0.9, 1.0, 1.1, 1.3, 1.2, 1.3, 1.4, 1.4, 1.5], 1)] + [(D(2022, 1, 1), 2.0)], "date date, nav double")
+    p = metrics.performance(nav, periods=12).first()
+    assert p.annual_return == pytest.approx(1.0) and p.max_drawdown == pytest.approx(-0.25)
+    assert (p.max_drawdown_start, p.max_drawdown_date) == (D(2021, 2, 1), D(2021, 4, 1))
+
+
+def test_factor_labels(spark):
+    df = spark.createDataFrame([("return_r2",), ("return_vol",)], "m string")
+    assert len({r[0] for r in df.select(scalars.factor_label(df["m"])).collect()}) == 2
+    with pytest.raises(Exception, match="unknown factor"):
+        spark.createDataFrame([("other",)], "m string").select(scalars.factor_label(F.col("m"))).collect()
+
+
+def test_grid_choices_against_every_cell(spark):
+    """Full axes on a small panel: each cell's choice by trying all candidates."""
+    dice = random.Random(9)
+    rows = [(D(2021, 1, d), f"I{i}", round(dice.random(), 1), round(dice.random() - 0.5, 2), round(dice.random(), 1)) for d in range(1, 6) for i in range(12)]
+    cand = spark.createDataFrame([(d, c, "m", s) for d, c, s, *_ in rows], "date date, index_code string, method string, score double")
+    made = spark.createDataFrame([(d, c, b, v) for d, c, _, b, v in rows], "date date, index_code string, bias_6 double, vol_6 double")
+    uppers, shares = [x / 50 for x in range(-10, 16)], [x / 20 for x in range(1, 21)]
+    best = lambda some: min(some, key=lambda r: (-r[2], r[1]))[1]
+    want_b, want_v = {}, {}
+    for d in {r[0] for r in rows}:
+        day = [r for r in rows if r[0] == d]
+        for u in uppers:
+            if some := [r for r in day if r[3] <= u + 1e-12]:
+                want_b[d, u] = best(some)
+        for s in shares:
+            want_v[d, s] = best(sorted(day, key=lambda r: (-r[4], r[1]))[: max(1, math.ceil(12 * s - 1e-12))])
+    got_b = {(r.date, r.level): r.index_code for r in grid.bias_choices(cand, made, [6], uppers).collect()}
+    got_v = {(r.date, r.level): r.index_code for r in grid.volatility_choices(cand, made, [6], shares).collect()}
+    assert got_b == want_b and got_v == want_v
