@@ -25,6 +25,7 @@ from panelloom.llm.common import Workspace, spread
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_FIELDS = ((0x4286, 1), (0x42F7, 1), (0x42F2, 4), (0x42F3, 8), (0x4282, b"matroska"), (0x4287, 4), (0x4285, 2))
@@ -182,7 +183,14 @@ def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
 
 
 def demux(data: bytes) -> Media:
-    """Parse a whole file. Raises ValueError where it is not one."""
+    """Parse a whole file. Raises ValueError where it is not one, or cut off inside an element."""
+    try:
+        return _demux(data)
+    except (IndexError, KeyError, struct.error, UnicodeDecodeError) as e:
+        raise ValueError(f"not a whole Matroska file: {e}") from e
+
+
+def _demux(data: bytes) -> Media:
     media = Media()
     top = elements(data, 0, len(data))
     if next(top, (0, 0, 0))[0] != EBML:
@@ -208,7 +216,7 @@ def demux(data: bytes) -> Media:
                             elif n == AUDIO:
                                 for m, u, v in elements(data, s, t):
                                     entry[m] = _float(data, u, v) if m == RATE else _uint(data, u, v)
-                            elif n in (TRACK_NUMBER, TRACK_TYPE):
+                            elif n in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
                                 entry[n] = _uint(data, s, t)
                         media.tracks[entry[TRACK_NUMBER]] = entry
             elif kind == CLUSTER:
@@ -238,11 +246,14 @@ def demux(data: bytes) -> Media:
 def _add(media: Media, data: bytes, a: int, b: int, base: int, cluster: int) -> None:
     track, time, flags, frames = block_frames(data, a, b)
     entry = media.tracks.get(track, {})
-    # frames of a lace follow each other; for 8-bit samples their times follow from their lengths
-    per_byte = 1e9 / (entry[RATE] * media.scale) if entry.get(BIT_DEPTH) == 8 and entry.get(RATE) else 0.0
+    # Frames of a lace follow each other: of samples by their lengths, else by the track's frame duration.
+    # Without either all have the time of the block.
+    wide = entry.get(CHANNELS, 1) * entry.get(BIT_DEPTH, 0) / 8
+    per_byte = 1e9 / (entry[RATE] * media.scale * wide) if entry.get("codec", "").startswith("A_PCM") and entry.get(RATE) and wide else 0.0
+    per_frame = 0.0 if per_byte else entry.get(DEFAULT_DURATION, 0) / media.scale
     first = frames[0][0]
-    for at, size in frames:
-        media.packets.append((track, base + time + int((at - first) * per_byte), at, size, bool(flags & 0x80), cluster))
+    for k, (at, size) in enumerate(frames):
+        media.packets.append((track, base + time + int((at - first) * per_byte + k * per_frame), at, size, bool(flags & 0x80), cluster))
 
 
 def features(payload: bytes, media: Media) -> str:
@@ -314,5 +325,7 @@ def media_column(docs: DataFrame, space: Workspace) -> DataFrame:
     """Store the texts as media, read the stored bytes back, digest them.
 
     Null and empty texts are 64 zero bytes. Repeated rows are each returned; an
-    empty table gives an empty result; extra columns are ignored."""
+    empty table gives an empty result; extra columns are ignored. A very long text is
+    one file of many clusters, held whole by a worker. Nothing is compared, so there
+    are no ties."""
     return media_digests(store_media(docs, space))
