@@ -9,8 +9,9 @@ training scores: the share of bad documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import id_hash_mod, spread
+from panelloom.llm.common import Workspace, id_hash_mod, spread
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of each class that the weights are learned on, at most.
@@ -108,31 +109,55 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, x array<double>")
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the labels outside the held-out fold."""
+    return labels.where(F.col("quality").isin(0, 1) & (id_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
+
+
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Ranker:
     """Fit on labelled documents outside the held-out fold, ``each`` of either class (lowest hash of doc_id)."""
-    known = labels.where(F.col("quality").isin(0, 1) & (id_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
+    known = _known(labels)
     order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("doc_id").alias("_id"), "good")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most ``each`` of two classes
     rows = sorted(_features(texts).groupBy("doc_id", "good").agg(F.min("x").alias("x")).collect())
     return fit(np.array([r.x for r in rows]).reshape(len(rows), SHAPE + 256), np.array([r.good for r in rows]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
+def calibrated(model: Ranker, strengths: DataFrame, labels: DataFrame) -> Ranker:
+    """The model with its threshold at the quantile of all labelled strengths outside the held-out fold
+    under which as many lie as are bad, and the slope from the median of the good ones."""
+    known = _known(labels).withColumnRenamed("doc_id", "_id")
+    rows = strengths.join(known, F.col("doc_id") == F.col("_id")).select("s", "good")
+    n, bad, middle = rows.agg(F.count("*"), F.count_if(F.col("good") == 0), F.percentile_approx(F.when(F.col("good") == 1, F.col("s")), 0.5, 100_000)).first()
+    if not bad or bad == n:
+        return model
+    low = rows.agg(F.percentile_approx("s", bad / n, 100_000)).first()[0]
+    high = rows.where(F.col("s") > low).agg(F.min("s")).first()[0]
+    threshold = low if high is None else (low + high) / 2
+    return replace(model, threshold=float(threshold), slope=min(3.0 / max(1e-6, middle - threshold), 100.0))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, space: Workspace, each: int = SAMPLE_EACH) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text).
 
     Labels that are null or not 0 or 1 are ignored; of contradicting labels the
     lower holds. Null text counts as empty and is scored. Without labels every
     score is the same and over the cutoff. held_out is false for a null id. Rows
-    that repeat are each returned; an empty table gives an empty result."""
+    that repeat are each returned and score the same; a very long text is counted
+    whole; an empty table gives an empty result. The weights are fitted on a bounded
+    sample, the threshold on all labelled rows."""
     model = train(docs, labels, each)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([text_features(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, SHAPE + 256)
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= CUTOFF).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.strength(x))], ["doc_id", "held_out", "s"])
 
     held = F.coalesce(id_hash_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    strengths = space.write(spread(rows).mapInArrow(run, "doc_id long, held_out boolean, s double"), "strengths")
+    final = calibrated(model, strengths, labels)
+    z = (F.col("s") - final.threshold) * final.slope + math.log(CUTOFF / (1 - CUTOFF))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
+    return strengths.select("doc_id", "held_out", score.alias("score"), (score >= CUTOFF).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.quality import score_quality
 
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op4"))
 
 
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

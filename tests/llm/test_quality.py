@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from panelloom.llm import quality
 
 
-def test_held_out_accuracy(spark, sf_dir):
+def test_held_out_accuracy(spark, sf_dir, space_of):
     folder = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    rows = quality.score_quality(docs, labels, space_of("q")).join(labels, "doc_id").where("held_out").collect()
     right = [r.predicted == r.quality for r in rows]
     assert len(rows) > 40 and np.mean(right) >= 0.93
     clean = [r.predicted for r in rows if r.quality == 1]
@@ -38,18 +38,26 @@ def test_features_of_odd_texts():
         assert np.isfinite(quality.text_features(t)).all()
 
 
-def test_edges(spark, edge_docs, no_docs):
+def test_edges(spark, edge_docs, no_docs, space_of):
     labels = spark.createDataFrame([(3, 1, 0, "x"), (3, 0, 0, "x"), (4, 1, 0, "y"), (None, 1, 0, "z"), (5, None, 0, "z"), (7, 0, 1, "q"), (99, 7, 0, "w")], "doc_id long, quality int, toxic int, text string")
-    rows = quality.score_quality(edge_docs, labels).collect()
+    rows = quality.score_quality(edge_docs, labels, space_of("q")).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.held_out for r in rows if r.doc_id is None} == {False}
-    assert quality.score_quality(no_docs, labels).count() == 0
-    assert quality.score_quality(edge_docs, labels.limit(0)).where("predicted = 0").count() == 0
+    assert quality.score_quality(no_docs, labels, space_of("q")).count() == 0
+    assert quality.score_quality(edge_docs, labels.limit(0), space_of("q")).where("predicted = 0").count() == 0
 
 
-def test_labels_of_the_held_out_fold_change_nothing(spark, documents, sf_dir):
+def test_labels_of_the_held_out_fold_change_nothing(spark, documents, sf_dir, space_of):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (sorted(map(tuple, quality.score_quality(documents, x).collect())) for x in (labels, turned))
+    a, b = (sorted(map(tuple, quality.score_quality(documents, x, space_of("q")).collect())) for x in (labels, turned))
     assert a == b
+
+
+def test_threshold_is_of_all_labelled_rows(spark, documents, sf_dir, space_of):
+    """A fit on few rows of each class leaves about as many labelled rows under the cutoff as are bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.score_quality(documents, labels, space_of("q"), each=8).join(labels, "doc_id").where("not held_out").collect()
+    bad = sum(r.quality == 0 for r in rows)
+    assert bad and abs(sum(r.predicted == 0 for r in rows) - bad) <= 1
