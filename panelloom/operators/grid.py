@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelloom import config
 from panelloom.functions.scalars import keep_count
+from panelloom.operators.select import passes_bias, passes_volatility
 
 
 def experiment_matrix(spark: SparkSession) -> DataFrame:
@@ -38,22 +39,41 @@ def input_keys(cases: DataFrame) -> DataFrame:
     return factor.unionByName(price)
 
 
-def total_returns(choices: DataFrame, prices: DataFrame, cells: Sequence[str], rate: float = config.COST_RATE) -> DataFrame:
-    """log_return and total_return of every cell that holds its one chosen index from close to close.
+def total_returns(choices: DataFrame, prices: DataFrame, cells: Sequence[str], rate: float = config.COST_RATE, mode: str = "close") -> DataFrame:
+    """log_return and total_return of every cell that holds its one chosen index.
 
-    All cells run side by side: the product of the steps of a cell is a sum of
-    logarithms, so nothing is recursive. A day without a choice keeps the holding."""
+    Orders are filled at the close of the choice's day, or at the average price of the
+    day after it. All cells run side by side: the product of the steps of a cell is a
+    sum of logarithms, so nothing is recursive. A day without a choice keeps the holding."""
+    config.validate(execution_mode=mode)
     by = Window.partitionBy(*cells).orderBy("date")
-    plan = choices.withColumn("old", F.lag("index_code").over(by)).withColumn("before", F.lag("date").over(by))
-    p = prices.select("date", "index_code", "close")
-    now = p.select("date", F.col("index_code").alias("old"), F.col("close").alias("c1"))
-    was = p.select(F.col("date").alias("before"), F.col("index_code").alias("old"), F.col("close").alias("c0"))
-    rows = plan.join(now, ["date", "old"], "left").join(was, ["before", "old"], "left")
-    fee = F.when(F.col("old").isNull(), F.lit(1 / (1 + rate))).when(F.col("old") == F.col("index_code"), F.lit(1.0)).otherwise(F.lit((1 - rate) / (1 + rate)))
-    step = F.coalesce(F.col("c1") / F.col("c0"), F.lit(1.0)) * fee
+    later = mode != "close"
+    now = F.lag("index_code").over(by) if later else F.col("index_code")
+    plan = choices.withColumn("now", now).withColumn("old", F.lag("index_code", 1 + later).over(by)).withColumn("before", F.lag("date").over(by))
+    fill = F.col("vwap" if later else "close")
+    sold = prices.select("date", F.col("index_code").alias("old"), fill.alias("x1"))
+    was = prices.select(F.col("date").alias("before"), F.col("index_code").alias("old"), F.col("close").alias("x0"))
+    rows = plan.join(sold, ["date", "old"], "left").join(was, ["before", "old"], "left")
+    fee = F.when(F.col("old").isNull(), F.lit(1 / (1 + rate))).when(F.col("old") == F.col("now"), F.lit(1.0)).otherwise(F.lit((1 - rate) / (1 + rate)))
+    step = F.coalesce(F.col("x1") / F.col("x0"), F.lit(1.0)) * fee
+    if later:  # what was bought at the average price is worth the close
+        rows = rows.join(prices.select("date", F.col("index_code").alias("now"), (F.col("close") / F.col("vwap")).alias("rest")), ["date", "now"], "left")
+        step = F.when(F.col("now").isNull(), F.lit(1.0)).otherwise(step * F.coalesce("rest", F.lit(1.0)))
     return rows.groupBy(*cells).agg(F.sum(F.log(step)).alias("log_return"), F.count("*").alias("n_days")).withColumn("total_return", F.exp("log_return") - 1)
 
 
+def also_volatile(candidates: DataFrame, metrics: DataFrame, vol: str, share: float = config.VOL_KEEP) -> DataFrame:
+    """Candidates that pass the fixed volatility filter, which looks at the whole set of a date and method; for a bias grid of the combined profile."""
+    joined = candidates.join(metrics.select("date", "index_code", F.col(vol).alias("_vol")), ["date", "index_code"], "left")
+    return joined.withColumn("_ok", passes_volatility(F.col("_vol"), ["method", "date"], share)).where("_ok").drop("_vol", "_ok")
+
+
+def also_unbiased(candidates: DataFrame, metrics: DataFrame, bias: str, upper: float = config.BIAS_UPPER) -> DataFrame:
+    """Candidates with the flag ``eligible`` of the fixed bias filter; for a volatility grid of the combined profile, whose order is of all of them."""
+    joined = candidates.join(metrics.select("date", "index_code", F.col(bias).alias("_bias")), ["date", "index_code"], "left")
+    return joined.withColumn("eligible", passes_bias(F.col("_bias"), upper)).drop("_bias")
+
+
 def bias_choices(candidates: DataFrame, metrics: DataFrame, windows: Sequence[int], uppers: Sequence[float]) -> DataFrame:
     """(method, window, level, date, index_code): the best candidate that each cell lets pass.
 
@@ -69,15 +89,19 @@ def bias_choices(candidates: DataFrame, metrics: DataFrame, windows: Sequence[in
 
 
 def volatility_choices(candidates: DataFrame, metrics: DataFrame, windows: Sequence[int], shares: Sequence[float]) -> DataFrame:
-    """As bias_choices for the share of the most volatile candidates; the order of a window is made once for all shares."""
+    """As bias_choices for the share of the most volatile candidates; the order of a window is made once for all shares.
+
+    With a column ``eligible`` only candidates that have it are chosen, though all count for the order."""
     config.validate_grid(windows, shares)
+    if "eligible" not in candidates.columns:
+        candidates = candidates.withColumn("eligible", F.lit(True))
     long = candidates.join(metrics.select("date", "index_code", F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"vol_{n}").alias("vol")) for n in windows])).alias("m")).select("date", "index_code", "m.*"), ["date", "index_code"])
     w = Window.partitionBy("method", "window", "date")
     ordered = long.where("vol is not null").withColumn("place", F.row_number().over(w.orderBy(F.round("vol", 10).desc(), "index_code"))).withColumn("n", F.count("*").over(w))
     # From the most volatile on, a candidate with the best score so far is the choice of the shares that end before the next such.
     near = w.orderBy("place")
-    best = F.min(F.struct((-F.round("score", 10)).alias("s"), "index_code"))
-    so_far = ordered.withColumn("best", best.over(near.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("best.index_code") == F.col("index_code"))
+    best = F.min(F.when(F.col("eligible"), F.struct((-F.round("score", 10)).alias("s"), "index_code")))
+    so_far = ordered.withColumn("best", best.over(near.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("eligible") & (F.col("best.index_code") == F.col("index_code")))
     until = F.coalesce(F.lead("place").over(near) - 1, F.col("n"))
     shared = F.filter(F.array(*map(F.lit, shares)), lambda s: keep_count(F.col("n"), s).between(F.col("place"), F.col("until")))
     return so_far.withColumn("until", until).select("date", "index_code", "method", "window", F.explode(shared).alias("level"))

@@ -541,41 +541,59 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor.stacked_scores(_trends(spark, sf_dir, 20)).select("date", "index_code", "method", "score").where("score is not null")
 
 
-def _bias_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bias_grid(spark: SparkSession, sf_dir: str, mode: str = "close", combined: bool = False) -> DataFrame:
     bars = panel.index_bars(spark, sf_dir)
-    m = select.filter_metrics(bars, GRID_BIAS[0], ())
-    return grid.total_returns(grid.bias_choices(_candidates(spark, sf_dir), m, *GRID_BIAS), bars, ["method", "window", "level"])
+    m = select.filter_metrics(bars, GRID_BIAS[0], (_VOL_W,) if combined else ())
+    candidates = grid.also_volatile(_candidates(spark, sf_dir), m, f"vol_{_VOL_W}") if combined else _candidates(spark, sf_dir)
+    return grid.total_returns(grid.bias_choices(candidates, m, *GRID_BIAS), bars, ["method", "window", "level"], mode=mode)
 
 
-def _vol_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vol_grid(spark: SparkSession, sf_dir: str, mode: str = "close", combined: bool = False) -> DataFrame:
     bars = panel.index_bars(spark, sf_dir)
-    m = select.filter_metrics(bars, (), GRID_VOL[0])
-    return grid.total_returns(grid.volatility_choices(_candidates(spark, sf_dir), m, *GRID_VOL), bars, ["method", "window", "level"])
+    m = select.filter_metrics(bars, (_BIAS_W,) if combined else (), GRID_VOL[0])
+    candidates = grid.also_unbiased(_candidates(spark, sf_dir), m, f"bias_{_BIAS_W}") if combined else _candidates(spark, sf_dir)
+    return grid.total_returns(grid.volatility_choices(candidates, m, *GRID_VOL), bars, ["method", "window", "level"], mode=mode)
 
 
-def _grid_sql(kind: str) -> str:
+def _grid_sql(kind: str, mode: str = "close", combined: bool = False) -> str:
     windows, levels = GRID_BIAS if kind == "bias" else GRID_VOL
-    metric = _metric_sql(windows, ()) if kind == "bias" else _metric_sql((), windows)
+    metric = _metric_sql(*((windows, (_VOL_W,) if combined else ()) if kind == "bias" else ((_BIAS_W,) if combined else (), windows)))
     union = " UNION ALL ".join(f'SELECT date, index_code, {n} AS "window", {kind}_{n} AS m FROM metric WHERE {kind}_{n} IS NOT NULL' for n in windows)
     level = ", ".join(f"({x})" for x in levels)
+    flag = "TRUE"
+    if combined and kind == "bias":
+        flag = f"vol_{_VOL_W} IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY method, date ORDER BY ROUND(vol_{_VOL_W}, 10) DESC NULLS LAST, index_code) <= GREATEST(1, CEIL(COUNT(*) OVER (PARTITION BY method, date) * {config.VOL_KEEP} - 1e-12))"
+    elif combined:
+        flag = _BIAS_OK
     if kind == "bias":
-        passing = "SELECT method, \"window\", CAST(level AS DOUBLE) AS level, date, index_code, score FROM cand JOIN ms USING (date, index_code) JOIN lv ON m <= level + 1e-12"
+        passing = "SELECT method, \"window\", CAST(level AS DOUBLE) AS level, date, index_code, score FROM cand JOIN ms USING (date, index_code) JOIN lv ON m <= level + 1e-12 WHERE ok"
     else:
-        passing = "SELECT method, \"window\", CAST(level AS DOUBLE) AS level, date, index_code, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY method, \"window\", date ORDER BY ROUND(m, 10) DESC, index_code) AS place, COUNT(*) OVER (PARTITION BY method, \"window\", date) AS n FROM cand JOIN ms USING (date, index_code)) JOIN lv ON place <= GREATEST(1, CEIL(n * CAST(level AS DOUBLE) - 1e-12))"
-    return f"""{TREND20}, {metric}, ms AS ({union}), lv(level) AS (VALUES {level}), cand AS (SELECT date, index_code, 'return_r2' AS method, return_r2 AS score FROM trend WHERE return_r2 IS NOT NULL UNION ALL SELECT date, index_code, 'return_vol', return_vol FROM trend WHERE return_vol IS NOT NULL),
+        passing = "SELECT method, \"window\", CAST(level AS DOUBLE) AS level, date, index_code, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY method, \"window\", date ORDER BY ROUND(m, 10) DESC, index_code) AS place, COUNT(*) OVER (PARTITION BY method, \"window\", date) AS n FROM cand JOIN ms USING (date, index_code)) JOIN lv ON place <= GREATEST(1, CEIL(n * CAST(level AS DOUBLE) - 1e-12)) WHERE ok"
+    if mode == "close":
+        plan = "index_code AS now, LAG(index_code) OVER w AS old"
+        step = f"COALESCE(a.close / b.close, 1.0) * {_FEE}"
+    else:
+        plan = "LAG(index_code) OVER w AS now, LAG(index_code, 2) OVER w AS old"
+        step = f"CASE WHEN now IS NULL THEN 1.0 ELSE COALESCE(a.vwap / b.close, 1.0) * {_FEE} * COALESCE(c.close / c.vwap, 1.0) END"
+    return f"""{TREND20}, {metric}, ms AS ({union}), lv(level) AS (VALUES {level}), raw AS (SELECT date, index_code, 'return_r2' AS method, return_r2 AS score FROM trend WHERE return_r2 IS NOT NULL UNION ALL SELECT date, index_code, 'return_vol', return_vol FROM trend WHERE return_vol IS NOT NULL),
+  cand AS (SELECT date, index_code, method, score, {flag} AS ok FROM raw LEFT JOIN metric USING (date, index_code)),
   pass AS ({passing}), best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY method, "window", level, date ORDER BY ROUND(score, 10) DESC, index_code) AS k FROM pass) WHERE k = 1),
-  pl AS (SELECT method, "window", level, date, index_code AS now, LAG(index_code) OVER w AS old, LAG(date) OVER w AS before FROM best WINDOW w AS (PARTITION BY method, "window", level ORDER BY date)),
-  cell AS (SELECT method, "window", level, SUM(LN(COALESCE(a.close / b.close, 1.0) * {_FEE})) AS log_return, COUNT(*) AS n_days FROM pl LEFT JOIN idx a ON a.date = pl.date AND a.index_code = old LEFT JOIN idx b ON b.date = before AND b.index_code = old GROUP BY 1, 2, 3)"""
+  pl AS (SELECT method, "window", level, date, {plan}, LAG(date) OVER w AS before FROM best WINDOW w AS (PARTITION BY method, "window", level ORDER BY date)),
+  cell AS (SELECT method, "window", level, SUM(LN({step})) AS log_return, COUNT(*) AS n_days FROM pl LEFT JOIN idx a ON a.date = pl.date AND a.index_code = old LEFT JOIN idx b ON b.date = before AND b.index_code = old LEFT JOIN idx c ON c.date = pl.date AND c.index_code = now GROUP BY 1, 2, 3)"""
+
 
+def _add_grid(kind: str, build: Callable[..., DataFrame], mode: str = "close", combined: bool = False) -> None:
+    name = f"{'bias' if kind == 'bias' else 'volatility'}_grid{'_combined' * combined}{'_vwap' * (mode != 'close')}"
 
-def _add_grid(kind: str, build: Query) -> None:
-    @_query(f'WITH {_grid_sql(kind)} SELECT method, "window", level, ROUND(log_return, 6) + 0.0 AS log_return, n_days FROM cell', "bias_grid" if kind == "bias" else "volatility_grid")
+    @_query(f'WITH {_grid_sql(kind, mode, combined)} SELECT method, "window", level, ROUND(log_return, 6) + 0.0 AS log_return, n_days FROM cell', name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round(build(spark, sf_dir).select("method", "window", "level", "log_return", "n_days"), "log_return")
+        return _round(build(spark, sf_dir, mode, combined).select("method", "window", "level", "log_return", "n_days"), "log_return")
 
 
-_add_grid("bias", _bias_grid)
-_add_grid("vol", _vol_grid)
+for _combined in (False, True):
+    for _mode in config.EXECUTION_MODES:
+        _add_grid("bias", _bias_grid, _mode, _combined)
+        _add_grid("vol", _vol_grid, _mode, _combined)
 
 
 @_query(f"WITH {_grid_sql('vol')} SELECT method, level, " + ", ".join(f'ROUND(MAX(CASE WHEN "window" = {n} THEN log_return END), 6) + 0.0 AS w{n}' for n in GRID_VOL[0]) + " FROM cell GROUP BY 1, 2")
