@@ -12,13 +12,13 @@ from panelloom.functions.scalars import ratio
 from panelloom.operators.universe import largest_by
 
 
-def correlation_pairs(returns: DataFrame) -> DataFrame:
-    """(code_a, code_b, corr, dist) with code_a < code_b: Pearson over shared dates; null where a side does not vary."""
-    a = returns.select("return_date", F.col("index_code").alias("code_a"), F.col("daily_return").alias("x"))
-    b = returns.select("return_date", F.col("index_code").alias("code_b"), F.col("daily_return").alias("y"))
-    both = a.join(b, "return_date").where("code_a < code_b")
+def correlation_pairs(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, code_a, code_b, corr, dist) with code_a < code_b: Pearson over shared dates; null where a side does not vary."""
+    a = returns.select(*keys, "return_date", F.col("index_code").alias("code_a"), F.col("daily_return").alias("x"))
+    b = returns.select(*keys, "return_date", F.col("index_code").alias("code_b"), F.col("daily_return").alias("y"))
+    both = a.join(b, [*keys, "return_date"]).where("code_a < code_b")
     corr = ratio(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    return both.groupBy("code_a", "code_b").agg(corr.alias("corr")).withColumn("dist", 1 - F.col("corr"))
+    return both.groupBy(*keys, "code_a", "code_b").agg(corr.alias("corr")).withColumn("dist", 1 - F.col("corr"))
 
 
 def linkage(codes: list[str], dist: np.ndarray, threshold: float) -> dict[str, int]:

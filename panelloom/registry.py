@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelloom import config
 from panelloom.operators import cluster, factor, grid, metrics, returns, select, simulate, universe
+from panelloom.plans import cases
 from panelloom.sources import panel
 from panelloom.streaming import bars as stream_bars
 
@@ -491,6 +492,43 @@ def turnover_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.turnover_cost(_accounts(spark, sf_dir, 2, "close")), "one_way_turnover", "cost_rate")
 
 
+# --- whole cases
+
+#: Months of the return panels, as the common days of all brands are few.
+CASE_CLOSES = 13
+CASE = config.ExperimentCase("monthly", "bias_and_volatility", 0.7, "return_r2", 20, 5)
+
+
+def _case_panels(spark: SparkSession, sf_dir: str) -> cases.Panels:
+    return cases.Panels(_calendar(spark, sf_dir), _pool(spark, sf_dir), panel.index_bars(spark, sf_dir, "month"), panel.index_bars(spark, sf_dir), panel.etf_bars(spark, sf_dir), CASE_CLOSES)
+
+
+SNAP = f"""mem AS (SELECT selection_date, index_code, COUNT(*) OVER (PARTITION BY selection_date) AS members FROM pool), hist AS (SELECT m.selection_date, m.index_code, members, date, close FROM mem m JOIN mon USING (index_code) WHERE date <= m.selection_date),
+  dts AS (SELECT selection_date, date FROM (SELECT *, COUNT(*) OVER (PARTITION BY selection_date) AS dates FROM (SELECT selection_date, date, ROW_NUMBER() OVER (PARTITION BY selection_date ORDER BY date DESC) AS k FROM hist GROUP BY selection_date, date, members HAVING COUNT(*) = members) WHERE k <= {CASE_CLOSES}) WHERE dates = {CASE_CLOSES}),
+  snap AS (SELECT * FROM (SELECT selection_date, index_code, date AS return_date, close / LAG(close) OVER (PARTITION BY selection_date, index_code ORDER BY date) - 1 AS daily_return FROM hist JOIN dts USING (selection_date, date)) WHERE daily_return IS NOT NULL),
+  spair AS (SELECT selection_date, a.index_code AS code_a, b.index_code AS code_b, COVAR_SAMP(a.daily_return, b.daily_return) / NULLIF(STDDEV_SAMP(a.daily_return) * STDDEV_SAMP(b.daily_return), 0) AS corr FROM snap a JOIN snap b USING (selection_date, return_date) WHERE a.index_code < b.index_code GROUP BY 1, 2, 3)"""
+
+
+@_query(f"WITH {POOL}, {MON}, {SNAP} SELECT selection_date, code_a, code_b, ROUND(corr, 6) + 0.0 AS corr FROM spair")
+def snapshot_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _case_panels(spark, sf_dir)
+    pairs = cluster.correlation_pairs(cases.snapshot_returns(p.pools, p.returns, p.closes), ("selection_date",))
+    return _round(pairs.select("selection_date", "code_a", "code_b", "corr"), "corr")
+
+
+@_query()
+def snapshot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(cases.snapshot_clusters(_case_panels(spark, sf_dir), CASE.correlation_threshold), "avg_turnover_20d", digits=4)
+
+
+@_query()
+def case_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cases.run_case(CASE, _case_panels(spark, sf_dir))
+    both = found["performance_close"].unionByName(found["performance_next_day_vwap"])
+    out = ("final_nav", "total_return", "max_drawdown")
+    return _round(both.select("execution_mode", "start_date", "end_date", "n_days", *out), *out)
+
+
 # --- performance
 
 DRAW = "dd AS (SELECT date, nav, nav / LAG(nav) OVER (ORDER BY date) - 1 AS daily_return, MAX(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak, nav / MAX(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM nav)"

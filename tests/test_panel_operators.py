@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import scalars
 from panelloom.operators import cluster, factor, grid, metrics, returns, select, simulate, universe
+from panelloom.plans import cases
 from panelloom.sources import panel, sinks
 
 D = dt.date
@@ -319,3 +320,21 @@ def test_grid_choices_against_every_cell(spark):
     got_b = {(r.date, r.level): r.index_code for r in grid.bias_choices(cand, made, [6], uppers).collect()}
     got_v = {(r.date, r.level): r.index_code for r in grid.volatility_choices(cand, made, [6], shares).collect()}
     assert got_b == want_b and got_v == want_v
+
+
+def test_clusters_of_each_snapshot(spark):
+    """Two pools of one panel: each sees its own past only."""
+    dates = [D(2021, 1, i) for i in range(1, 11)]
+    up = [1.0, 1.1, 1.0, 1.1, 1.0]
+    closes = {"A": [*up, 1.0, 1.1, 1.0, 1.1, 1.0], "B": [*(2 * x for x in up), 2.0, 1.8, 2.0, 1.8, 2.0], "C": [3.0, 2.9, 3.1, 2.8, 3.3, 3.0, 3.3, 3.0, 3.3, 3.0]}
+    rows = [(c, d, x) for c, xs in closes.items() for d, x in zip(dates, xs, strict=True)]
+    panel_bars = spark.createDataFrame(rows, "index_code string, date date, close double")
+    pools = spark.createDataFrame([(D(2021, 1, d), c, f"E{c}", t) for d in (5, 10) for c, t in (("A", 1.0), ("B", 2.0), ("C", 3.0))], "selection_date date, index_code string, etf_code string, avg_turnover_20d double")
+    p = cases.Panels(None, pools, panel_bars, None, None, closes=5)
+    found = cases.snapshot_clusters(p, 0.9)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((r.selection_date, r.cluster_id), set()).add(r.index_code)
+    assert sorted(map(sorted, (g for (d, _), g in groups.items() if d == D(2021, 1, 5)))) == [["A", "B"], ["C"]]
+    assert sorted(map(sorted, (g for (d, _), g in groups.items() if d == D(2021, 1, 10)))) == [["A", "C"], ["B"]]
+    assert {(r.selection_date.day, r.index_code) for r in cases.case_pools(found).collect()} == {(5, "B"), (5, "C"), (10, "C"), (10, "B")}
