@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcast a table only up to so many bytes of rows.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,12 +93,12 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _HELD[name]
 
 
-def small_side(written: DataFrame, row_bytes: int | Column) -> DataFrame:
+def small_side(written: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if the rows' bytes, summed, stay under the limit; else leave the join to Spark.
 
     The table is read for it, so it should be a written one."""
     size = written.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
-    return F.broadcast(written) if size <= BROADCAST_BYTES else written
+    return F.broadcast(written) if size <= limit else written
 
 
 def id_hash_mod(column: Column | str, modulus: int) -> Column:

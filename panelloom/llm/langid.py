@@ -28,9 +28,9 @@ SAMPLE_CHARS = 40_000
 #: Longer texts are taken for a language without shorter ones only, and then the shortest alone.
 SAMPLE_TEXT = 10_000
 #: Characters times languages that are parsed at once; a longer text is parsed by itself.
-AT_ONCE = 2_000_000
+AT_ONCE = 4_000_000
 #: Characters of a lane of the lockstep parse.
-LANE = 1024
+LANE = 256
 UNDETERMINED = "und"
 _SPACE, _UNKNOWN = 1, 0
 
@@ -128,12 +128,15 @@ class CrossParser:
             steps += [{c: to + at for c, to in x.items()} for x in own[1:]]
             self.roots.append(at + 1)
             self.weight.append(math.log2(len(codes) + 2))
-        self.base, self.owner, self.target = double_array(steps, self.width)
-        # Where a phrase ends the next begins at the root.
-        self.first = np.zeros((len(self.langs), self.width), dtype=np.int32)
+        self.base, owner, target = double_array(steps, self.width)
+        self.moves = owner.astype(np.int64) << 32 | target  # both in one look
+        self.root = np.array(self.roots, dtype=np.int32)
+        # Where a phrase ends the next begins at the root; a class that a language has not is a phrase of its own.
+        self.again = np.tile(self.root, (self.width, 1))
+        self.strange = np.ones(self.again.shape, dtype=bool)
         for k, root in enumerate(self.roots):
             for c, to in steps[root].items():
-                self.first[k, c] = to
+                self.again[c, k], self.strange[c, k] = to, False
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         """Classes of the characters; anything but letters is one space."""
@@ -146,17 +149,11 @@ class CrossParser:
         return c[keep]
 
     def _step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(states, phrases ended) after each lane (column) reads its class, in every language (row)."""
-        at = self.base.take(state) + c
-        to = np.where(self.owner.take(at) == state, self.target.take(at), 0)
-        ended = np.zeros(to.shape, dtype=np.int8)
-        row, col = np.nonzero(to == 0)
-        if len(row):
-            root = self.root[row]
-            again = self.first[row, c[col]]
-            unknown = again == 0
-            ended[row, col] = (state[row, col] != root) + unknown.astype(np.int8)
-            to[row, col] = np.where(unknown, root, again)
+        """(states, phrases ended) after each lane (row) reads its class, in every language (column)."""
+        found = self.moves.take(self.base.take(state) + c[:, None])
+        miss = (found >> 32) != state
+        to = np.where(miss, self.again[c], found.astype(np.int32))
+        ended = (miss & (state != self.root)).view(np.int8) + (miss & self.strange[c]).view(np.int8)
         return to, ended
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
@@ -171,7 +168,6 @@ class CrossParser:
         sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         if not langs or not sizes.sum():
             return total
-        self.root = np.array(self.roots, dtype=np.int32)
         flat = np.concatenate(coded).astype(np.int32)
         ends = np.cumsum(sizes)
         lanes = -(-sizes // LANE)
@@ -179,40 +175,40 @@ class CrossParser:
         number = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = (ends - sizes)[text] + number * LANE
         size = np.minimum(LANE, ends[text] - start)
-        seen = np.zeros((langs, len(flat)), dtype=np.int32)
-        count = np.zeros((langs, len(flat)), dtype=np.int8)
+        seen = np.zeros((len(flat), langs), dtype=np.int32)
+        count = np.zeros((len(flat), langs), dtype=np.int8)
         order = np.argsort(-size, kind="stable")
-        state = np.repeat(self.root[:, None], len(order), axis=1)
+        state = np.repeat(self.root[None, :], len(order), axis=0)
         begin, length = start[order], size[order]
         for t in range(int(length[0])):
             live = int(np.searchsorted(-length, -t, side="left"))
             at = begin[:live] + t
-            state, count[:, at] = self._step(state[:, :live], flat[at])
-            seen[:, at] = state
+            state, count[at] = self._step(state[:live], flat[at])
+            seen[at] = state
         last = start + size - 1
         todo = np.flatnonzero(number > 0)
         while len(todo):
-            state = seen[:, last[todo - 1]]
+            state = seen[last[todo - 1]]
             changed = np.zeros(len(text), dtype=bool)
-            live = np.flatnonzero((state != self.root[:, None]).any(axis=0))
-            lane, state, t = todo[live], state[:, live], 0
+            live = np.flatnonzero((state != self.root).any(axis=1))
+            lane, state, t = todo[live], state[live], 0
             while len(lane):
                 at = start[lane] + t
-                state, ended = self._step(state, flat[at])
-                old = seen[:, at]
-                seen[:, at], count[:, at] = state, ended
+                old = seen[at]
+                state, count[at] = self._step(state, flat[at])
+                seen[at] = state
                 t += 1
-                apart = (state != old).any(axis=0)
+                apart = (state != old).any(axis=1)
                 out = apart & (size[lane] == t)
                 changed[lane[out]] = True
                 go = apart & ~out
-                lane, state = lane[go], state[:, go]
+                lane, state = lane[go], state[go]
             after = np.flatnonzero(changed) + 1
             after = after[after < len(text)]
             todo = after[number[after] > 0]
         full = sizes > 0
-        total[:, full] = np.add.reduceat(count, (ends - sizes)[full], axis=1, dtype=np.int64)
-        total[:, full] += seen[:, ends[full] - 1] != self.root[:, None]
+        total[:, full] = np.add.reduceat(count, (ends - sizes)[full], axis=0, dtype=np.int64).T
+        total[:, full] += (seen[ends[full] - 1] != self.root).T
         return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -68,7 +68,7 @@ def test_tables_follow_the_transitions_not_the_alphabet():
     dice = random.Random(3)
     samples = {"zh": "".join(chr(0x4E00 + int(2500 * dice.random() ** 2)) for _ in range(20_000)), "en": "".join(dice.choices("abcdefgh ijk", k=20_000))}
     parser = langid.CrossParser(samples)
-    assert sum(x.nbytes for x in (parser.base, parser.owner, parser.target, parser.first)) < 10_000_000
+    assert sum(x.nbytes for x in (parser.base, parser.moves, parser.again, parser.strange)) < 10_000_000
     assert [x for x, _ in parser.predict([samples["zh"][300:900], samples["en"][50:90], "12 34"])] == ["zh", "en", "und"]
 
 
