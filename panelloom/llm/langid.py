@@ -30,7 +30,7 @@ SAMPLE_TEXT = 10_000
 #: Characters times languages that are parsed at once; a longer text is parsed by itself.
 AT_ONCE = 4_000_000
 #: Characters of a lane of the lockstep parse.
-LANE = 256
+LANE = 512
 UNDETERMINED = "und"
 _SPACE, _UNKNOWN = 1, 0
 
@@ -175,28 +175,31 @@ class CrossParser:
         number = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = (ends - sizes)[text] + number * LANE
         size = np.minimum(LANE, ends[text] - start)
-        seen = np.zeros((len(flat), langs), dtype=np.int32)
-        count = np.zeros((len(flat), langs), dtype=np.int8)
         order = np.argsort(-size, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        steps = int(size.max())
+        # one row for each step of all lanes, the longest lanes first
+        read = flat[np.minimum(start[order] + np.arange(steps)[:, None], len(flat) - 1)]
+        seen = np.zeros((steps, len(order), langs), dtype=np.int32)
+        count = np.zeros((steps, len(order), langs), dtype=np.int8)
         state = np.repeat(self.root[None, :], len(order), axis=0)
-        begin, length = start[order], size[order]
-        for t in range(int(length[0])):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            at = begin[:live] + t
-            state, count[at] = self._step(state[:live], flat[at])
-            seen[at] = state
-        last = start + size - 1
+        lives = np.searchsorted(-size[order], -np.arange(steps), side="left")
+        for t, live in enumerate(lives.tolist()):
+            state, count[t, :live] = self._step(state[:live], read[t, :live])
+            seen[t, :live] = state
+        last = size - 1
         todo = np.flatnonzero(number > 0)
         while len(todo):
-            state = seen[last[todo - 1]]
+            state = seen[last[todo - 1], rank[todo - 1]]
             changed = np.zeros(len(text), dtype=bool)
             live = np.flatnonzero((state != self.root).any(axis=1))
             lane, state, t = todo[live], state[live], 0
             while len(lane):
-                at = start[lane] + t
-                old = seen[at]
-                state, count[at] = self._step(state, flat[at])
-                seen[at] = state
+                at = rank[lane]
+                old = seen[t, at]
+                state, count[t, at] = self._step(state, read[t, at])
+                seen[t, at] = state
                 t += 1
                 apart = (state != old).any(axis=1)
                 out = apart & (size[lane] == t)
@@ -206,9 +209,12 @@ class CrossParser:
             after = np.flatnonzero(changed) + 1
             after = after[after < len(text)]
             todo = after[number[after] > 0]
-        full = sizes > 0
-        total[:, full] = np.add.reduceat(count, (ends - sizes)[full], axis=0, dtype=np.int64).T
-        total[:, full] += (seen[ends[full] - 1] != self.root).T
+        ended = count.sum(axis=0, dtype=np.int64)[rank]
+        full = np.flatnonzero(sizes > 0)
+        first = (np.cumsum(lanes) - lanes)[full]
+        total[:, full] = np.add.reduceat(ended, first, axis=0).T
+        final = first + lanes[full] - 1
+        total[:, full] += (seen[last[final], rank[final]] != self.root).T
         return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
