@@ -34,11 +34,32 @@ def missing_history(bars: DataFrame, window: int) -> DataFrame:
     return bars.where("close is not null").groupBy("index_code").agg(F.count("*").alias("n_closes")).where(F.col("n_closes") < window + 1)
 
 
+def require_history(bars: DataFrame, window: int) -> None:
+    """Raise ValueError, naming some of them, where indexes have fewer than window + 1 closes."""
+    short = [r.index_code for r in missing_history(bars, window).orderBy("index_code").limit(20).collect()]
+    if short:
+        raise ValueError(f"fewer than {window + 1} closes: {', '.join(map(str, short))}")
+
+
 def fresh(signal: Column, last: Column, days: int = STALE_DAYS) -> Column:
     """Is the latest price recent enough?"""
     return F.datediff(signal, last) <= days
 
 
+def asof_prices(signals: DataFrame, bars: DataFrame, days: int = STALE_DAYS) -> DataFrame:
+    """(date, index_code, price_date, close, is_fresh) of every signal: the last close up to its date, and
+    whether it is of the last ``days`` days; null and not fresh where there is none.
+
+    A merge: closes and signals of an index in one order, the last close seen so far."""
+    by = Window.partitionBy("index_code").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    kind = bars.schema["close"].dataType
+    closes = bars.where("close is not null").select("index_code", "date", F.lit(0).alias("side"), F.struct(F.col("date").alias("price_date"), "close").alias("p"))
+    asked = signals.select("index_code", "date", F.lit(1).alias("side"), F.lit(None).cast(closes.schema["p"].dataType).alias("p"))
+    found = closes.unionByName(asked).withColumn("p", F.last("p", ignorenulls=True).over(by)).where("side = 1")
+    is_fresh = F.coalesce(fresh(F.col("date"), F.col("p.price_date"), days), F.lit(False))
+    return found.select("date", "index_code", "p.price_date", F.col("p.close").cast(kind).alias("close"), is_fresh.alias("is_fresh"))
+
+
 def passes_bias(bias: Column, upper: float = BIAS_UPPER) -> Column:
     return F.coalesce(bias <= upper + TOLERANCE, F.lit(False))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom import config
+from panelloom.functions import scalars
 from panelloom.operators import cluster, factor, grid, metrics, returns, select, simulate, universe
 from panelloom.plans import cases
 from panelloom.sources import panel
@@ -339,6 +340,20 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.filter_counts(_flagged(spark, sf_dir, "bias_and_volatility"))
 
 
+@_query(f"WITH {POOL}, {IDX} SELECT p.selection_date AS date, p.index_code, idx.date AS price_date, {_price_sql("close").replace("close +", "idx.close +", 1)}, COALESCE(date_diff('day', idx.date, p.selection_date) <= {config.STALE_DAYS}, FALSE) AS is_fresh FROM pool p ASOF LEFT JOIN idx ON p.index_code = idx.index_code AND p.selection_date >= idx.date")
+def asof_pool_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = _pool(spark, sf_dir).select(F.col("selection_date").alias("date"), "index_code")
+    return _price(select.asof_prices(signals, panel.index_bars(spark, sf_dir)), "close")
+
+
+@_query(f"WITH {IDX}, {RET}, {METRIC} SELECT strftime(date, '%Y_%m_%d') AS file_date, index_code, printf('%.14e', volume) AS volume, CASE WHEN {_BIAS_OK} THEN '是' ELSE '否' END AS passes FROM metric JOIN (SELECT date, index_code, volume FROM idx) USING (date, index_code)")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = panel.index_bars(spark, sf_dir).select("date", "index_code", "volume")
+    m = _metrics(spark, sf_dir).join(bars, ["date", "index_code"])
+    flag = scalars.yes_no(select.passes_bias(F.col(f"bias_{_BIAS_W}")))
+    return m.select(scalars.file_date(F.col("date")).alias("file_date"), "index_code", scalars.fifteen_digits(F.col("volume").cast("double")).alias("volume"), flag.alias("passes"))
+
+
 # --- correlation and clusters
 
 

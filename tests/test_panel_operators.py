@@ -338,3 +338,17 @@ def test_clusters_of_each_snapshot(spark):
     assert sorted(map(sorted, (g for (d, _), g in groups.items() if d == D(2021, 1, 5)))) == [["A", "B"], ["C"]]
     assert sorted(map(sorted, (g for (d, _), g in groups.items() if d == D(2021, 1, 10)))) == [["A", "C"], ["B"]]
     assert {(r.selection_date.day, r.index_code) for r in cases.case_pools(found).collect()} == {(5, "B"), (5, "C"), (10, "C"), (10, "B")}
+
+
+def test_asof_prices_and_staleness(spark):
+    panel_bars = spark.createDataFrame([("A", D(2021, 1, 1), 1.0), ("A", D(2021, 1, 5), 2.0), ("A", D(2021, 1, 6), None), ("B", D(2021, 2, 1), 3.0)], "index_code string, date date, close double")
+    signals = spark.createDataFrame([("A", D(2021, 1, 4)), ("A", D(2021, 1, 6)), ("A", D(2021, 1, 12)), ("A", D(2021, 1, 13)), ("B", D(2021, 1, 31)), ("C", D(2021, 1, 1))], "index_code string, date date")
+    got = {(r.index_code, r.date.day): (r.close, r.is_fresh) for r in select.asof_prices(signals, panel_bars).collect()}
+    assert got == {("A", 4): (1.0, True), ("A", 6): (2.0, True), ("A", 12): (2.0, True), ("A", 13): (2.0, False), ("B", 31): (None, False), ("C", 1): (None, False)}
+
+
+def test_missing_history_is_an_error(spark):
+    two = bars(spark, {"A": [1.0, 2.0], "B": [1.0, 2.0, 3.0]})
+    select.require_history(two, 1)
+    with pytest.raises(ValueError, match="A"):
+        select.require_history(two, 2)
