@@ -74,9 +74,17 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.infill import infill_digests
+
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing, op11_sparse_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from panelloom.llm import infill
+
+    return {"op11_sparse_infill": infill.SQL}
