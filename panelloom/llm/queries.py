@@ -80,8 +80,14 @@ def op11_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.periods import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing, op11_sparse_infill)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing, op11_sparse_infill, op13_harmonic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
