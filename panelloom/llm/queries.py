@@ -80,6 +80,12 @@ def op11_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelloom.llm.forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op12"))
+
+
 def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelloom.llm.periods import run_digests
 
@@ -87,10 +93,10 @@ def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing, op11_sparse_infill, op13_harmonic_runs)}
+    return {f.__name__: f for f in (op1_bitplane_tokens, op2_simhash_dedup, op3_line_dedup, op4_bradley_terry, op5_matroska, op6_spaced_seeds, op7_collinear_passages, op8_unigram_pieces, op9_mincut_html, op10_cross_parsing, op11_sparse_infill, op12_lsh_forest, op13_harmonic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from panelloom.llm import infill
+    from panelloom.llm import forest, infill
 
-    return {"op11_sparse_infill": infill.SQL}
+    return {"op11_sparse_infill": infill.SQL, "op12_lsh_forest": forest.SQL}
