@@ -19,9 +19,12 @@ from panelloom.llm.common import Workspace, small_side, spread
 #: Offsets that count. Whatever tokens are substituted, a window of 11 to 20 tokens that agrees in
 #: a share of SIMILARITY holds one of these seeds whole (all substitutions were tried).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 7, 8), (0, 1, 3, 7, 8, 9), (0, 1, 2, 3, 7, 8))
-#: The same for items of SHORTEST to 10 tokens; used only if the benchmark has such.
+#: The same for items of SHORTEST to 10 tokens; used only if the benchmark has such. Of shorter
+#: items no token may differ, so all of them are the mask.
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
 SHORTEST, LONG = 5, 11
+#: An item that has one seed at more places than this repeats itself; where it is hit, all diagonals are compared.
+MANY_PLACES = 16
 #: Seeds of the benchmark are broadcast up to so many bytes, as the other side has a row for every token.
 SEED_BYTES = 32 << 20
 WINDOW = 20
@@ -73,22 +76,20 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, space: Workspace) -> Dat
     items = space.write(items.select("item_id", "_item", F.xxhash64("_item").alias("_which")).distinct(), "items")
     texts = spread(docs.select(text_key(F.col("text")).alias("_body"), F.col("text").cast("string").alias("text")))
     parts = []
-    short = F.size("_item").between(SHORTEST, LONG - 1)
-    for name, chosen, masks in (("long", F.size("_item") >= LONG, MASKS), ("short", short, SHORT_MASKS)):
+    size = F.size("_item")
+    kinds = [("long", size >= LONG, MASKS), ("short", size.between(SHORTEST, LONG - 1), SHORT_MASKS)]
+    kinds += [(f"of-{n}", size == n, (tuple(range(n)),)) for n in range(1, SHORTEST)]
+    for name, chosen, masks in kinds:
         some = items.where(chosen)
         if some.isEmpty():
             continue
-        # Of a seed that an item has over and over the first and the last place are enough.
-        places = seeds(some.select("item_id", F.struct("_which", "_item").alias("_i"), F.col("_item").alias("_h")).select(F.struct("item_id", "_i._which").alias("_i"), "_h"), "_i", masks)
-        ends = places.groupBy("_seed", "_i").agg(F.min("_pos").alias("a"), F.max("_pos").alias("b"))
-        known = space.write(ends.select("_seed", "_i.item_id", "_i._which", F.explode(F.array_distinct(F.array("a", "b"))).alias("_at")), f"seeds-{name}")
+        places = seeds(some.select(F.struct("item_id", "_which").alias("_i"), F.col("_item").alias("_h")), "_i", masks)
+        # All places of a seed; null for those of an item that has it over and over.
+        at = F.when(F.size("_all") <= MANY_PLACES, F.col("_all")).otherwise(F.array(F.lit(None).cast("int")))
+        known = space.write(places.groupBy("_seed", "_i").agg(F.collect_list("_pos").alias("_all")).select("_seed", "_i.item_id", "_i._which", F.explode(at).alias("_at")), f"seeds-{name}")
         found = seeds(texts.select("_body", token_hashes(F.col("text")).alias("_h")), "_body", masks)
         # few positions pass, so the diagonals are small beside the documents
         parts.append(found.join(small_side(known, 40, SEED_BYTES), "_seed").select("_body", "item_id", "_which", (F.col("_pos") - F.col("_at")).alias("_diagonal")))
-    tiny = items.where(F.size("_item") < SHORTEST)
-    if not tiny.isEmpty():
-        whole = texts.select("_body", F.xxhash64(token_hashes(F.col("text"))).alias("_which"))
-        parts.append(whole.join(small_side(tiny.select("item_id", "_which"), 16), "_which").select("_body", "item_id", "_which", F.lit(0).alias("_diagonal")))
     if not parts:
         parts.append(texts.limit(0).select("_body", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("_which"), F.lit(0).alias("_diagonal")))
     pairs = parts[0]
@@ -98,7 +99,10 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, space: Workspace) -> Dat
     bodies = space.write(pairs.select("_body").distinct(), "bodies")
     tokens = texts.join(small_side(bodies, 16), "_body", "left_semi").dropDuplicates(["_body"]).select("_body", token_hashes(F.col("text")).alias("_h"))
     lined = pairs.join(items.select("item_id", "_which", "_item").withColumnRenamed("item_id", "_id"), F.col("item_id").eqNullSafe(F.col("_id")) & (pairs["_which"] == items["_which"])).select("_body", "item_id", "_item", "_diagonal")
-    compared = lined.join(tokens, "_body").select("_body", "item_id", "_diagonal", aligned("_h", "_item", "_diagonal").alias("_hits"))
+    every = F.sequence(1 - F.size("_item"), F.size("_h") - 1)
+    diagonals = F.when(F.col("_diagonal").isNull(), every).otherwise(F.array("_diagonal"))
+    each = lined.join(tokens, "_body").select("_body", "item_id", "_item", "_h", F.explode(diagonals).alias("_diagonal"))
+    compared = each.select("_body", "item_id", "_diagonal", aligned("_h", "_item", "_diagonal").alias("_hits"))
     width = F.least(F.size("_hits"), F.lit(WINDOW))
     scored = compared.select("_body", "item_id", "_diagonal", best_window("_hits", width).alias("_agree"), width.alias("_width"))
     enough = scored.where(F.col("_agree") >= F.ceil(F.col("_width") * F.lit(SIMILARITY) - F.lit(1e-9)))
@@ -111,9 +115,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Workspace) -> DataFrame:
 
     One row for each document and item: the diagonal with the most agreeing tokens,
     the first of equals; doc_start counts tokens and is negative where the document
-    begins inside the item. Items of fewer than SHORTEST tokens are leaked by a
-    document without other tokens only, as they are found in any text; items without
-    a token never. Null texts have no tokens; a very long text is one array of token
+    begins inside the item. Items of fewer than SHORTEST tokens leak where all their
+    tokens stand in a row, of whatever length the document; items without a token
+    never. Null texts have no tokens; a very long text is one array of token
     hashes, its positions are rows. A null doc_id or item_id is carried. Rows that
     share an id are one document (one item): each is compared, the best row is
     returned. Empty tables give an empty result; extra columns are ignored.
