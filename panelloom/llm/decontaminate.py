@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Workspace, small_side, spread
+from panelloom.llm.common import Workspace, small_side, spread, unused
 
 #: Offsets that count. Whatever tokens are substituted, a window of 11 to 20 tokens that agrees in
 #: a share of SIMILARITY holds one of these seeds whole (all substitutions were tried).
@@ -134,5 +134,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, space: Workspace) ->
 
     Texts decide, not ids: a clean row stays whatever other row shares its id, and
     rows without an id are like others. Null texts are clean."""
-    bad = space.write(leaked_texts(docs, benchmark, space).select(F.col("_body").alias("__leaked")).distinct(), "leaked")
-    return docs.join(small_side(bad, 16), text_key(docs["text"]) == F.col("__leaked"), "left_anti")
+    (name,) = unused(docs, "leaked")
+    bad = space.write(leaked_texts(docs, benchmark, space).select(F.col("_body").alias(name)).distinct(), "leaked")
+    return docs.join(small_side(bad, 16), text_key(docs["text"]) == F.col(name), "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Workspace, release, small_side, spread
+from panelloom.llm.common import Workspace, release, small_side, spread, unused
 from panelloom.llm.graph import components, forest
 
 SEED = 42
@@ -372,13 +372,15 @@ def one_of_each(docs: DataFrame, space: Workspace) -> DataFrame:
     keep = space.write(rooted.groupBy("root").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep"), "keep")
     # Groups of many copies are hot keys; the join has nothing above it that needs them together, so AQE splits it.
     member = space.write(rooted.join(keep, "root").select("doc_id", "body", (place == F.col("keep")).alias("kept")), "members")
-    gone = space.write(member.where("not kept").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).distinct(), "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_body(docs["text"]) == F.col("__body"))
+    id_, body_, row_ = unused(docs, "id", "body", "row")
+    key = (F.col("doc_id").alias(id_), F.col("body").alias(body_))
+    gone = space.write(member.where("not kept").select(*key).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (_body(docs["text"]) == F.col(body_))
     left = docs.join(small_side(gone, 24), same, "left_anti")
     # Rows that repeat both the id and the text of a kept one are still there.
-    again = space.write(member.where("kept").groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")), "again")
+    again = space.write(member.where("kept").groupBy("doc_id", "body").count().where("count > 1").select(*key), "again")
     if again.isEmpty():
         return left
     again = small_side(again, 24)
-    once = left.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("__id"), _body(F.col("text")).alias("__body")).agg(F.min(F.struct(*left.columns)).alias("__row")).select("__row.*")
+    once = left.join(again, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias(id_), _body(F.col("text")).alias(body_)).agg(F.min(F.struct(*left.columns)).alias(row_)).select(f"{row_}.*")
     return left.join(again, same, "left_anti").unionByName(once)
