@@ -31,8 +31,8 @@ SHINGLE_WORDS, SIMILARITY = 4, 0.8
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 #: MinHash values of a set, of which the trees take the first 128; a bit of each is its sketch.
 VALUES = 256
-#: Neighbours on each side in an order.
-NEAR = 16
+#: Neighbours on each side in an order, and the trees that are followed first, with one neighbour.
+NEAR, CHAIN_TREES = 16, 2
 #: Sketch bits that candidates agree in at least: four deviations under what similarity 0.8 has.
 AGREE = 211
 #: Shingles hashed at once.
@@ -98,35 +98,37 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-#: Columns of a row of an order: border (0 in the main pass), tree, the label's two words, the sketch, the set.
-ORDER = ("border", "tree", "high", "low", "s0", "s1", "s2", "s3", "node")
+#: Columns of a row of an order: border (0 in the main pass), tree, the label's two words, the sketch, the set and its group.
+ORDER = ("border", "tree", "high", "low", "s0", "s1", "s2", "s3", "node", "root")
+PAIR = ("a", "b", "bits", "root_a", "root_b")
 
 
-def neighbours(rows: np.ndarray, near: int = NEAR, least: int = LEAST_DEPTH, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bits in common) of rows, in order, with up to ``near`` next ones that share so deep a prefix and so many bits."""
-    found = []
+def neighbours(rows: np.ndarray, near: int = NEAR, least: int = LEAST_DEPTH, agree: int = AGREE) -> np.ndarray:
+    """Columns of PAIR, a < b: rows, in order, with up to ``near`` next ones of another group that share so deep a prefix and so many bits."""
+    found = [np.empty((len(PAIR), 0), np.int64)]
     high = rows[2].view(np.uint64)
     for k in range(1, min(near, rows.shape[1] - 1) + 1):
         at = np.flatnonzero((((high[k:] ^ high[:-k]) >> np.uint64(64 - 16 * least)) == 0) & (rows[1, k:] == rows[1, :-k]) & (rows[0, k:] == rows[0, :-k]))
         if not len(at):
             break  # rows in between share the prefix, too
+        at = at[rows[9, at] != rows[9, at + k]]
         bits = VALUES - np.bitwise_count((rows[4:8, at] ^ rows[4:8, at + k]).view(np.uint64)).sum(axis=0, dtype=np.int64)
-        a, b = rows[8, at], rows[8, at + k]
-        good = (bits >= agree) & (a != b)
-        found.append(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good], bits[good]]))
-    both = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-    return tuple(np.unique(both, axis=1)) if both.shape[1] else tuple(both)
+        good = bits >= agree
+        left, right = rows[8:, at[good]], rows[8:, at[good] + k]
+        turned = left[0] > right[0]
+        left, right = np.where(turned, right, left), np.where(turned, left, right)
+        found.append(np.stack([left[0], right[0], bits[good], left[1], right[1]]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def _walk(borders: bool, near: int):
     """Over the rows of one partition in their order: candidates, and where ``borders``, the first and last rows under the number of the border that they are at."""
 
-    def batch_of(rows: np.ndarray, pairs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        empty, full = np.zeros(rows.shape[1], bool), np.ones(len(pairs[0]), bool)
-        is_pair = np.concatenate([full, empty])
+    def batch_of(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+        is_pair = np.arange(pairs.shape[1] + rows.shape[1]) < pairs.shape[1]
         columns = [pa.array(np.concatenate([p, rows[8]]), mask=~is_pair) for p in pairs]
         columns += [pa.array(np.concatenate([pairs[0], r]), mask=is_pair) for r in rows]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "bits", *ORDER])
+        return pa.RecordBatch.from_arrays(columns, [*PAIR, *ORDER])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -142,66 +144,74 @@ def _walk(borders: bool, near: int):
             yield batch_of(none, neighbours(rows, near))
             held = rows[:, -near:]
         if borders and held.shape[1]:
-            edges = np.concatenate([head, held], axis=1).copy()
-            edges[0] = np.repeat([part - 1, part], [head.shape[1], held.shape[1]]) + 1
-            yield batch_of(edges, tuple(np.empty((3, 0), np.int64)))
+            edges = np.concatenate([head, held], axis=1)
+            edges[0] = np.repeat([part, part + 1], [head.shape[1], held.shape[1]])
+            yield batch_of(edges, np.empty((len(PAIR), 0), np.int64))
 
     return run
 
 
-def candidates(sets: DataFrame, space: Workspace, near: int = NEAR) -> DataFrame:
-    """(a, b, bits) of sets(node, labels, sketch): neighbours in the orders of the forest, a < b, each pair once."""
+def candidates(sets: DataFrame, space: Workspace, name: str, trees: int = TREES, near: int = NEAR) -> DataFrame:
+    """Columns of PAIR of sets(node, labels, sketch, root): neighbours of other groups in the orders of the first ``trees`` trees, each pair once."""
     spark = sets.sparkSession
-    longs = ", ".join(f"{c} long" for c in ("a", "b", "bits", *ORDER))
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.cast("long").alias("tree"), F.get("labels", 2 * t).alias("high"), F.get("labels", 2 * t + 1).alias("low"))))
-    rows = sets.select("node", "sketch", trees.alias("t")).select(F.lit(0).cast("long").alias("border"), "t.tree", "t.high", "t.low", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(4)], "node")
-    parts = max(1, min(sets.count() * TREES // LEAST_ROWS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    longs = ", ".join(f"{c} long" for c in (*PAIR, *ORDER))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("long").alias("tree"), F.get("labels", 2 * t).alias("high"), F.get("labels", 2 * t + 1).alias("low")))
+    rows = sets.select("node", "root", "sketch", F.explode(labels).alias("t")).select(F.lit(0).cast("long").alias("border"), "t.tree", "t.high", "t.low", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(4)], "node", "root")
+    parts = max(1, min(sets.count() * trees // LEAST_ROWS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
     order = ["border", "tree", "high", "low", "node"]
     ranged = rows.repartitionByRange(parts, *order[1:]).sortWithinPartitions(*order[1:])
-    walked = space.write(ranged.mapInArrow(_walk(True, near), longs), "walked")
-    pairs = walked.where("a is not null").select("a", "b", "bits")
+    walked = space.write(ranged.mapInArrow(_walk(True, near), longs), name)
+    pairs = walked.where("a is not null").select(*PAIR)
     if parts > 1:  # so many rows for each border: a small table
         edges = walked.where("a is null").select(*ORDER).repartition("border").sortWithinPartitions(*order)
-        pairs = pairs.unionByName(edges.mapInArrow(_walk(False, near), longs).select("a", "b", "bits"))
+        pairs = pairs.unionByName(edges.mapInArrow(_walk(False, near), longs).select(*PAIR))
     return pairs.distinct()
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
     """(node, root) of the sets that links of Jaccard similarity connect; docs(body, text), sets(node, body, labels, sketch).
 
-    Candidates are verified in three rounds, as what is connected needs no more links:
-    every set with the likeliest of its candidates, every two groups by the likeliest
-    pair between them, then all pairs between groups that are left."""
-    pairs = space.write(candidates(sets, space, near), "pairs")
-    both = pairs.select("a", "b", "bits").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    need = space.write(both.select(F.col("a").alias("node")).distinct(), "need")
-    wanted = space.write(sets.select("node", "body").join(small_side(need, 16), "node"), "wanted")
-    texts = docs.join(small_side(wanted, 16), "body").select("node", "text").dropDuplicates(["node"])
-    held = space.write(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>"), "shingles")
+    What is connected needs no more links. So first the orders of CHAIN_TREES are
+    followed, each set with the next one, which makes few groups of a crowd of
+    copies; then all orders, with pairs between groups only: of every two groups the
+    likeliest pair, and at last all that are between groups still."""
+
+    def shingles_of(nodes: DataFrame, name: str) -> DataFrame:
+        wanted = space.write(sets.select("node", "body").join(small_side(nodes, 16), "node"), f"wanted-{name}")
+        texts = docs.join(small_side(wanted, 16), "body").select("node", "text").dropDuplicates(["node"])
+        return space.write(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>"), f"shingles-{name}")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         found = pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         n = F.size(F.array_intersect("x", "y"))
-        percent = round(100 * similarity)
-        return found.select("a", "b", (100 * n >= percent * (F.size("x") + F.size("y") - n)).alias("linked"))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            named = small_side(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), 24)
-            pairs = pairs.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        return pairs.where("root_a <> root_b")
-
-    # Of equal candidates the hash of the pair chooses, so that no set is everyone's.
-    likeliest = F.max_by("pair", F.struct("bits", F.xxhash64("pair")))
-    named = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("pair")
-    done = space.write(linked(both.select("a", "bits", named).groupBy("a").agg(likeliest.alias("p")).select("p.a", "p.b").distinct()), "round-1")
+        return found.select("a", "b", (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
+
+    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
+        named = small_side(roots.select(F.col("node").alias(node), F.col("root").alias(root)), 24)
+        return rows.join(named, node, "left").withColumn(root, F.coalesce(root, node))
+
+    alone = sets.withColumn("root", F.col("node"))
+    pairs = space.write(candidates(alone, space, "chain", CHAIN_TREES, 1).select("a", "b"), "pairs-1")
+    held = shingles_of(space.write(ends(pairs), "need-1"), "1")
+    done = space.write(linked(pairs), "round-1")
     roots = space.write(components(done.where("linked"), space, "forest-1"), "roots-1")
-    between = apart(pairs, roots).groupBy(F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s")).agg(F.max_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b")
-    for k, chosen in ((2, lambda: between), (3, lambda: apart(pairs, roots).select("a", "b"))):
-        rest = space.write(chosen().join(done.select("a", "b"), ["a", "b"], "left_anti"), f"rest-{k}")
-        if rest.isEmpty():
-            continue
-        more = space.write(linked(rest), f"round-{k}")
+    pairs = candidates(rooted(sets, "node", "root"), space, "forest", TREES, near)
+    pairs = space.write(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
+    held = held.unionByName(shingles_of(space.write(ends(pairs).join(held.select("node"), "node", "left_anti"), "need-2"), "2"))
+    # Of equal pairs a hash chooses, so that no set is everyone's partner.
+    likeliest = F.max_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("p")
+    for k in (2, 3):
+        if k == 2:
+            chosen = pairs.groupBy(F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s")).agg(likeliest).select("p.a", "p.b")
+        else:
+            chosen = rooted(rooted(pairs.select("a", "b"), "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+        chosen = space.write(chosen, f"chosen-{k}")
+        if chosen.isEmpty():
+            break
+        more = space.write(linked(chosen), f"round-{k}")
         done = done.unionByName(more)
         if not more.where("linked").isEmpty():
             roots = space.write(components(done.where("linked"), space, f"forest-{k}"), f"roots-{k}")

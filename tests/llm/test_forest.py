@@ -99,11 +99,13 @@ def test_pairs_at_the_threshold_are_found(spark, space_of):
 def test_walk_over_borders():
     """Neighbours on both sides of a border come out of the second pass."""
     rows = np.zeros((len(forest.ORDER), 40), dtype=np.int64)
-    rows[8] = np.arange(40)
-    a, b, bits = forest.neighbours(rows, 3, agree=0)
-    assert len(a) == 39 + 38 + 37 and set(bits) == {forest.VALUES}
+    rows[8] = rows[9] = np.arange(40)
+    found = forest.neighbours(rows, 3, agree=0)
+    assert found.shape[1] == 39 + 38 + 37 and set(found[2]) == {forest.VALUES}
     rows[1, 20:] = 1
     assert not any(x < 20 <= y for x, y in zip(*forest.neighbours(rows, 3, agree=0)[:2], strict=True))
+    rows[9, :] = 5  # one group: nothing to link
+    assert forest.neighbours(rows, 3, agree=0).shape[1] == 0
 
 
 def test_sketch_estimates_similarity():
