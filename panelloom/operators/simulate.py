@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.config import COST_RATE, validate
-
-NAV_SCHEMA = "account_id int, date date, account_nav double, rebalance_attempted boolean, rebalanced boolean, turnover double, cost double, n_holdings int"
+from panelloom.operators import accounts
 
 
 def stagger_schedule(calendar: DataFrame, days: int, mode: str) -> DataFrame:
@@ -21,114 +18,20 @@ def stagger_schedule(calendar: DataFrame, days: int, mode: str) -> DataFrame:
     return at.select((F.pmod("slot", F.lit(days)) + 1).cast("int").alias("account_id"), "date", "signal_date")
 
 
-def rebalance(value: np.ndarray, cash: float, weight: np.ndarray, rate: float = COST_RATE) -> tuple[np.ndarray, float, float, float]:
-    """(positions, cash, traded, cost) after trading the differences to the target.
-
-    What is left after costs, V', solves V' = V - rate x sum |w V' - position|; the
-    right side falls in V' no faster than rate, so halving finds it."""
-    total = cash + float(value.sum())
-    low, high = 0.0, total
-    for _ in range(200):
-        mid = (low + high) / 2
-        if mid + rate * float(np.abs(weight * mid - value).sum()) > total:
-            high = mid
-        else:
-            low = mid
-        if high - low <= 1e-16 * max(1.0, total):
-            break
-    after = (low + high) / 2
-    wanted = weight * after
-    traded = float(np.abs(wanted - value).sum())
-    return wanted, after - float(wanted.sum()), traded, rate * traded
-
-
-def account_path(dates: list, acts: dict, targets: dict, close: dict, fill: dict, start: float, mode: str, rate: float = COST_RATE) -> list[tuple]:
-    """Days of one account: (date, nav, attempted, rebalanced, turnover, cost, holdings).
-
-    ``acts``: date to signal date; ``targets``: signal date to {code: weight};
-    ``close`` and ``fill``: date to {code: price}. Without a target the holdings
-    stay. An instrument without a fill price is not traded that day: a held one
-    keeps its value, a wanted one is left out, its weight stays cash."""
-    codes: list = []
-    units = np.zeros(0)
-    cash, last, out = start, {}, []
-    for day in dates:
-        attempted = day in acts
-        traded = cost = 0.0
-        target = targets.get(acts.get(day)) if attempted else None
-        done = False
-        if target:
-            prices = fill.get(day, {})
-            names = [*codes, *sorted(c for c in target if c not in codes and prices.get(c))]
-            held = {c: u for c, u in zip(codes, units, strict=True)}
-            value, weight, frozen, price = [], [], 0.0, []
-            move = [c for c in names if prices.get(c)]
-            for c in codes:
-                if not prices.get(c):
-                    frozen += held[c] * last[c]
-            for c in move:
-                price.append(prices[c])
-                value.append(held.get(c, 0.0) * prices[c])
-                weight.append(target.get(c, 0.0))
-            if move:
-                # weights are of the whole account, of which what is frozen cannot be traded
-                part = cash + sum(value)
-                goal = np.array(weight) * ((part + frozen) / part if part else 0.0)
-                goal /= max(1.0, float(goal.sum()))
-                new, cash, traded, cost = rebalance(np.array(value), cash, goal, rate)
-                units_now = {c: v / p for c, v, p in zip(move, new, price, strict=True)}
-                keep = {c: held[c] for c in codes if not prices.get(c)} | {c: u for c, u in units_now.items() if u > 0}
-                codes = sorted(keep)
-                units = np.array([keep[c] for c in codes])
-                for c, p in zip(move, price, strict=True):
-                    last[c] = p
-                done = True
-        for c in codes:
-            last[c] = close.get(day, {}).get(c) or last[c]
-        nav = cash + float(sum(u * last[c] for c, u in zip(codes, units, strict=True)))
-        out.append((day, nav, attempted, done, traded, cost, len(codes)))
-    return out
-
-
 def run_accounts(calendar: DataFrame, targets: DataFrame, prices: DataFrame, days: int, mode: str, rate: float = COST_RATE) -> DataFrame:
-    """Account-day rows (NAV_SCHEMA) of the d accounts of a staggered portfolio.
-
-    targets: (signal_date, etf_code, weight); prices: (date, etf_code, close, vwap).
-    Accounts never meet, so each is a group of its own, and only prices of
-    instruments that the account may hold go to it."""
-    schedule = stagger_schedule(calendar, days, mode).withColumnRenamed("date", "act_date")
-    every = calendar.select("date").join(F.broadcast(schedule.select("account_id").distinct()))  # d accounts
-    mine = schedule.join(targets, "signal_date", "left")
-    codes = mine.where("etf_code is not null").select("account_id", "etf_code").distinct()
-    acted = mine.select("account_id", F.col("act_date").alias("date"), "signal_date", "etf_code", "weight", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("vwap"))
-    priced = prices.join(codes, "etf_code").select("account_id", "date", F.lit(None).cast("date").alias("signal_date"), "etf_code", F.lit(None).cast("double").alias("weight"), "close", "vwap")
-    days_ = every.select("account_id", "date", F.lit(None).cast("date").alias("signal_date"), F.lit(None).cast(targets.schema["etf_code"].dataType).alias("etf_code"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("vwap"))
+    """Account-day rows of the d accounts of one staggered portfolio.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        act = group[group.signal_date.notna()]
-        acts = dict(zip(act.date, act.signal_date, strict=True))
-        goals: dict = {}
-        for s, c, w in act[act.weight.notna()][["signal_date", "etf_code", "weight"]].itertuples(index=False):
-            goals.setdefault(s, {})[c] = w
-        close: dict = {}
-        vwap: dict = {}
-        for d, c, x, v in group[group.close.notna() | group.vwap.notna()][["date", "etf_code", "close", "vwap"]].itertuples(index=False):
-            if x == x:
-                close.setdefault(d, {})[c] = x
-            if v == v:
-                vwap.setdefault(d, {})[c] = v
-        bare = group[group.etf_code.isna() & group.signal_date.isna()]
-        path = account_path(sorted(bare.date.unique()), acts, goals, close, close if mode == "close" else vwap, 1.0 / days, mode, rate)
-        out = pd.DataFrame(path, columns=["date", "account_nav", "rebalance_attempted", "rebalanced", "turnover", "cost", "n_holdings"])
-        out.insert(0, "account_id", int(group.account_id.iloc[0]))
-        return out
-
-    return days_.unionByName(acted).unionByName(priced).groupBy("account_id").applyInPandas(run, NAV_SCHEMA)
+    targets: (signal_date, etf_code, weight); prices: (date, etf_code, close, vwap). For many
+    portfolios at once, and for trades, see ``accounts.run_portfolios``."""
+    validate(stagger_days=days, execution_mode=mode)
+    case = calendar.sparkSession.createDataFrame([("", days, mode)], "case_id string, stagger_days int, execution_mode string")
+    rows = accounts.run_portfolios(calendar, case, targets.withColumn("case_id", F.lit("")), prices, trades=False, rate=rate)
+    return accounts.account_days(rows).drop("case_id")
 
 
-def portfolio_nav(accounts: DataFrame) -> DataFrame:
+def portfolio_nav(days: DataFrame) -> DataFrame:
     """(date, nav, turnover, cost, n_holdings): sums over the accounts."""
-    return accounts.groupBy("date").agg(F.sum("account_nav").alias("nav"), F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost"), F.sum("n_holdings").alias("n_holdings"))
+    return days.groupBy("date").agg(F.sum("account_nav").alias("nav"), F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost"), F.sum("n_holdings").alias("n_holdings"))
 
 
 def top_one_nav(choice: DataFrame, prices: DataFrame, mode: str, rate: float = COST_RATE) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import statistics
 
 import pytest
+import stepwise
 from pyspark.sql import functions as F
 
 from panelloom.functions import scalars
@@ -169,11 +170,11 @@ def _two_signals():
 
 def test_fill_models():
     (a, b, c), targets, close, vwap = _two_signals()
-    path = simulate.account_path([a, b, c], {b: a, c: b}, targets, close, vwap, 1.0, "next_day_vwap")
+    path = stepwise.account_path([a, b, c], {b: a, c: b}, targets, close, vwap, 1.0, "next_day_vwap")
     assert path[0][1] == 1.0
     assert path[1][1] == pytest.approx(1 / 1.001 * 100 / 101)
     assert [p[3] for p in path] == [False, True, True]
-    now = simulate.account_path([a, b, c], {a: a, b: b, c: c}, targets, close, close, 1.0, "close")
+    now = stepwise.account_path([a, b, c], {a: a, b: b, c: c}, targets, close, close, 1.0, "close")
     assert now[0][1] == pytest.approx(1 / 1.001)
     assert now[1][1] == pytest.approx(1 / 1.001 * 0.999 / 1.001)
     assert now[2][2] and not now[2][3] and now[2][1] == pytest.approx(now[1][1] * 1.01)
@@ -182,17 +183,17 @@ def test_fill_models():
 def test_without_price_a_holding_stays():
     (a, b, c), targets, close, vwap = _two_signals()
     del close[b]["E2"]
-    path = simulate.account_path([a, b, c], {a: a, b: b}, targets, close, close, 1.0, "close")
+    path = stepwise.account_path([a, b, c], {a: a, b: b}, targets, close, close, 1.0, "close")
     assert path[1][6] == 0 or path[1][1] == pytest.approx(1 / 1.001, rel=1e-2)
 
 
 def test_rebalance_costs_balance():
     import numpy as np
 
-    new, cash, traded, cost = simulate.rebalance(np.array([0.5, 0.5]), 0.0, np.array([0.2, 0.8]))
+    new, cash, traded, cost = stepwise.rebalance(np.array([0.5, 0.5]), 0.0, np.array([0.2, 0.8]))
     assert float(new.sum()) + cash + cost == pytest.approx(1.0)
     assert new[1] / new[0] == pytest.approx(4.0)
-    new, cash, traded, cost = simulate.rebalance(np.zeros(1), 1.0, np.ones(1))
+    new, cash, traded, cost = stepwise.rebalance(np.zeros(1), 1.0, np.ones(1))
     assert float(new[0]) == pytest.approx(1 / 1.001)
 
 
