@@ -174,48 +174,40 @@ def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity:
     What is connected needs no more links. So first the orders of CHAIN_TREES are
     followed, each set with the next one, which makes few groups of a crowd of
     copies; then all orders, with pairs between groups only: of every two groups the
-    likeliest pair, and at last all that are between groups still."""
+    likeliest pair, and where that is no link all others of the two."""
 
     def shingles_of(nodes: DataFrame, name: str) -> DataFrame:
-        wanted = space.write(sets.select("node", "body").join(small_side(nodes, 16), "node"), f"wanted-{name}")
+        wanted = space.write(sets.select("node", "body").join(nodes, "node", "left_semi"), f"wanted-{name}")
         texts = docs.join(small_side(wanted, 16), "body").select("node", "text").dropDuplicates(["node"])
         return space.write(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>"), f"shingles-{name}")
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         found = pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         n = F.size(F.array_intersect("x", "y"))
-        return found.select("a", "b", (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
-
-    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
-        named = small_side(roots.select(F.col("node").alias(node), F.col("root").alias(root)), 24)
-        return rows.join(named, node, "left").withColumn(root, F.coalesce(root, node))
+        return found.select(*pairs.columns, (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
 
     alone = sets.withColumn("root", F.col("node"))
     pairs = space.write(candidates(alone, space, "chain", CHAIN_TREES, 1).select("a", "b"), "pairs-1")
-    held = shingles_of(space.write(ends(pairs), "need-1"), "1")
+    held = shingles_of(ends(pairs), "1")
     done = space.write(linked(pairs), "round-1")
     roots = space.write(components(done.where("linked"), space, "forest-1"), "roots-1")
-    pairs = candidates(rooted(sets, "node", "root"), space, "forest", TREES, near)
+    rooted = sets.join(small_side(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = (F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
+    pairs = candidates(rooted, space, "forest", TREES, near).select("a", "b", "bits", *groups)
     pairs = space.write(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
-    held = held.unionByName(shingles_of(space.write(ends(pairs).join(held.select("node"), "node", "left_anti"), "need-2"), "2"))
+    if pairs.isEmpty():
+        return roots
+    held = held.unionByName(shingles_of(ends(pairs).join(held.select("node"), "node", "left_anti"), "2"))
     # Of equal pairs a hash chooses, so that no set is everyone's partner.
     likeliest = F.max_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("p")
-    for k in (2, 3):
-        if k == 2:
-            chosen = pairs.groupBy(F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s")).agg(likeliest).select("p.a", "p.b")
-        else:
-            chosen = rooted(rooted(pairs.select("a", "b"), "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
-        chosen = space.write(chosen, f"chosen-{k}")
-        if chosen.isEmpty():
-            break
-        more = space.write(linked(chosen), f"round-{k}")
-        done = done.unionByName(more)
-        if not more.where("linked").isEmpty():
-            roots = space.write(components(done.where("linked"), space, f"forest-{k}"), f"roots-{k}")
-    return roots
+    first = space.write(linked(pairs.groupBy("r", "s").agg(likeliest).select("r", "s", "p.a", "p.b")), "round-2")
+    rest = pairs.select("a", "b", "r", "s").join(first.where("not linked").select("r", "s", F.col("a").alias("tried"), F.col("b").alias("with")), ["r", "s"]).where("a <> tried or b <> with")
+    more = space.write(linked(rest.select("a", "b")), "round-3")
+    links = done.unionByName(first.select("a", "b", "linked")).unionByName(more).where("linked")
+    return space.write(components(links, space, "forest-2"), "roots-2")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, similarity: float = SIMILARITY) -> DataFrame:
