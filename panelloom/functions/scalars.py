@@ -38,9 +38,9 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def keep_count(n: Column, share: float) -> Column:
+def keep_count(n: Column, share: float | Column) -> Column:
     """How many of n a share keeps: rounded up, one at least (none of none)."""
-    return F.when(n > 0, F.greatest(F.lit(1), F.ceil(n * F.lit(share) - F.lit(TOLERANCE)))).otherwise(0).cast("int")
+    return F.when(n > 0, F.greatest(F.lit(1), F.ceil(n * (share if isinstance(share, Column) else F.lit(share)) - F.lit(TOLERANCE)))).otherwise(0).cast("int")
 
 
 def yes_no(c: Column) -> Column:

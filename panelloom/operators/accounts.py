@@ -19,6 +19,8 @@ from panelloom.config import COST_RATE, EXECUTION_MODES, STAGGER_DAYS
 
 #: Directions of a trade (fixed values of the reports).
 BUY, SELL = "买入", "卖出"
+#: A position of a smaller share of its account is what rounding left and counts as none.
+DUST = 1e-9
 DAY_COLUMNS = "date date, account_nav double, rebalance_attempted boolean, rebalanced boolean, turnover double, cost double, n_holdings int"
 TRADE_COLUMNS = "execution_date date, signal_date date, etf_code string, direction string, price double, amount double, trade_cost double"
 
@@ -117,7 +119,7 @@ def _run(days_only: bool, rate: float):
         trades = []
         for first, end, units, cash, trade in follow(len(dates), acts, close, fill, 1.0 / stagger, rate):
             nav[first:end] = worth[first:end] @ units + cash
-            held[first:end] = np.count_nonzero(units > 0)
+            held[first:end] = np.count_nonzero(worth[first:end] * units > DUST * nav[first:end, None], axis=1)
             if trade is not None:
                 value, wanted, price, able, paid = trade
                 done[first], turnover[first], cost[first] = 1, float(np.abs(wanted - value).sum()), paid

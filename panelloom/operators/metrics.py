@@ -25,8 +25,16 @@ def drawdowns(nav: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return peaked.withColumn("peak_date", F.when(top.isNull() | (F.col("peak") > top), F.col("date"))).withColumn("peak_date", F.last("peak_date", ignorenulls=True).over(so_far))
 
 
-def performance(nav: DataFrame, keys: Sequence[str] = (), periods: int = DAYS_A_YEAR) -> DataFrame:
-    """One row for each series. Ratios are null where their denominator is zero or there is one day only."""
+def _trading(periods: int) -> list:
+    """Of days with turnover, cost, n_holdings and n_rebalanced: one-way turnover a day and a year, costs over value, holdings, rebalances."""
+    daily = F.avg(ratio(F.col("turnover"), 2 * F.col("nav")))
+    return [daily.alias("mean_daily_turnover"), (daily * periods).alias("annual_turnover"), F.sum(ratio(F.col("cost"), F.col("nav"))).alias("total_cost_rate"), F.avg("n_holdings").alias("mean_holdings"), F.sum("n_rebalanced").alias("n_rebalances")]
+
+
+def performance(nav: DataFrame, keys: Sequence[str] = (), periods: int = DAYS_A_YEAR, trading: bool = False) -> DataFrame:
+    """One row for each series; with ``trading`` also what its trading was, from days of ``accounts.portfolio_days``.
+
+    Ratios are null where their denominator is zero or there is one day only."""
     d = drawdowns(nav, keys)
     years = (F.count("*") - 1) / F.lit(float(periods))
     first, last = F.min_by("nav", "date"), F.max_by("nav", "date")
@@ -38,6 +46,7 @@ def performance(nav: DataFrame, keys: Sequence[str] = (), periods: int = DAYS_A_
         (ratio(F.avg("daily_return"), F.sqrt(F.avg(F.pow(F.least("daily_return", F.lit(0.0)), 2.0)))) * F.sqrt(F.lit(float(periods)))).alias("sortino"),
         F.min("drawdown").alias("max_drawdown"), F.min_by("date", F.struct(F.round("drawdown", 10), "date")).alias("max_drawdown_date"),
         F.min_by("peak_date", F.struct(F.round("drawdown", 10), "date")).alias("max_drawdown_start"),
+        *(_trading(periods) if trading else ()),
     )
     return r.withColumn("calmar", ratio(F.col("annual_return"), -F.col("max_drawdown")))
 

@@ -13,19 +13,36 @@ from panelloom.operators.universe import largest_by
 
 
 def filter_metrics(bars: DataFrame, bias_windows: Sequence[int] = (BIAS_WINDOW,), vol_windows: Sequence[int] = (VOL_WINDOW,)) -> DataFrame:
-    """(index_code, date, bias_n…, vol_n…), all windows over one sort.
+    """(index_code, date, close, bias_n…, vol_n…), all windows over one sort.
 
     bias: close over the mean of the last n closes, the day's included, less one.
-    vol: sample deviation of the last n daily returns. Null without enough history."""
+    vol: sample deviation of the last n daily returns. Null without enough history.
+
+    A window is the difference of two running sums, its end's and that of n rows before, so
+    each costs two look-ups whatever its length. The sums are exact decimals of 18 places:
+    their differences lose nothing to the length of the history."""
     by = Window.partitionBy("index_code").orderBy("date")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,18)")).over(so_far), F.lit(0).cast("decimal(38,18)"))
     base = bars.select("index_code", "date", "close").withColumn("ret", ratio(F.col("close"), F.lag("close").over(by)) - 1)
+    sums = {"_n": F.count("close").over(so_far), "_s": exact(F.col("close"))}
+    if vol_windows:
+        sums |= {"_k": F.count("ret").over(so_far), "_r": exact(F.col("ret")), "_q": exact(F.col("ret") * F.col("ret"))}
+    base = base.withColumns(sums)
+
+    def inside(name: str, n: int) -> Column:
+        before = F.lag(name, n).over(by)
+        return F.col(name) - F.coalesce(before, F.lit(0).cast(base.schema[name].dataType))
+
     made: list[Column] = []
     for n in bias_windows:
-        w = by.rowsBetween(-(n - 1), 0)
-        made.append(F.when(F.count("close").over(w) == n, ratio(F.col("close"), F.avg("close").over(w)) - 1).alias(f"bias_{n}"))
+        mean = inside("_s", n).cast("double") / n
+        made.append(F.when(inside("_n", n) == n, ratio(F.col("close"), mean) - 1).alias(f"bias_{n}"))
     for n in vol_windows:
-        w = by.rowsBetween(-(n - 1), 0)
-        made.append(F.when(F.count("ret").over(w) == n, F.stddev_samp("ret").over(w)).alias(f"vol_{n}"))
+        squares, total = inside("_q", n).cast("double"), inside("_r", n).cast("double")
+        rest = squares - total * total / n
+        # what is left of equal returns by rounding is no deviation
+        made.append(F.when(inside("_k", n) == n, F.sqrt(F.when(rest > 1e-14 * squares, rest).otherwise(0.0) / (n - 1))).alias(f"vol_{n}"))
     return base.select("index_code", "date", "close", *made)
 
 

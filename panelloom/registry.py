@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom import config
+from panelloom import config, oracles
 from panelloom.functions import scalars
-from panelloom.operators import cluster, factor, grid, metrics, returns, select, simulate, universe
+from panelloom.operators import accounts, cluster, factor, grid, metrics, returns, select, simulate, universe
 from panelloom.plans import cases
 from panelloom.sources import panel
 from panelloom.streaming import bars as stream_bars
@@ -479,32 +479,102 @@ def nav_top1_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_nav(spark, sf_dir, "next_day_vwap").select("date", "index_code", "log_nav"), "log_nav")
 
 
-def _accounts(spark: SparkSession, sf_dir: str, days: int, mode: str) -> DataFrame:
+BATCH_PROFILES = tuple(config.FILTER_PROFILES)
+_CASES_T = "case_id string, stagger_days int, execution_mode string"
+
+
+def _one_case(days: int, mode: str) -> str:
+    """CTEs of one case, the top decile of the combined profile, day by day; the instruments are the indexes."""
+    tw = "tw AS (SELECT 'one' AS case_id, date AS signal_date, index_code, 1.0 / COUNT(*) OVER (PARTITION BY date) AS weight FROM top)"
+    return f"WITH RECURSIVE {_flag_sql('bias_and_volatility')}, {TOP}, {CAL}, {tw}, cs AS (SELECT 'one' AS case_id, {days} AS d, '{mode}' AS mode), {oracles.accounts_sql()}"
+
+
+def _portfolio(spark: SparkSession, sf_dir: str, days: int, mode: str) -> DataFrame:
     """Top decile of the indexes, traded as instruments of their own (their panel is dense)."""
     bars = panel.index_bars(spark, sf_dir)
     top = select.top_fraction(_flagged(spark, sf_dir, "bias_and_volatility"), "return_r2")
-    weights = top.select(F.col("date").alias("signal_date"), F.col("index_code").alias("etf_code"), (1 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
-    return simulate.run_accounts(_calendar(spark, sf_dir), weights, bars.select("date", F.col("index_code").alias("etf_code"), "close", "vwap"), days, mode)
+    weights = top.select(F.lit("one").alias("case_id"), F.col("date").alias("signal_date"), F.col("index_code").alias("etf_code"), (1 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
+    case = spark.createDataFrame([("one", days, mode)], _CASES_T)
+    return accounts.run_portfolios(_calendar(spark, sf_dir), case, weights, bars.select("date", F.col("index_code").alias("etf_code"), "close", "vwap"))
 
 
-@_query()
+def _nav_out(rows: DataFrame) -> DataFrame:
+    """Logarithms and shares, as navs of random prices run over many orders of size."""
+    d = accounts.portfolio_days(rows)
+    out = d.select("date", F.log("nav").alias("log_nav"), (F.col("turnover") / F.col("nav")).alias("turnover_rate"), (F.col("cost") / F.col("nav")).alias("cost_rate"), "n_holdings", "n_rebalanced")
+    return _round(out, "log_nav", "turnover_rate", "cost_rate")
+
+
+_NAV_OUT = "SELECT date, ROUND(LN(nav), 6) + 0.0 AS log_nav, ROUND(traded / nav, 6) + 0.0 AS turnover_rate, ROUND(cost / nav, 6) + 0.0 AS cost_rate, CAST(n_holdings AS BIGINT) AS n_holdings, n_rebalanced FROM total"
+
+
+@_query(f"{_one_case(1, 'close')} {_NAV_OUT}")
 def nav_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(simulate.portfolio_nav(_accounts(spark, sf_dir, 1, "close")), "nav", "turnover", "cost")
+    return _nav_out(_portfolio(spark, sf_dir, 1, "close"))
 
 
-@_query()
+@_query(f"{_one_case(5, 'next_day_vwap')} {_NAV_OUT}")
 def nav_staggered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(simulate.portfolio_nav(_accounts(spark, sf_dir, 5, "next_day_vwap")), "nav", "turnover", "cost")
+    return _nav_out(_portfolio(spark, sf_dir, 5, "next_day_vwap"))
 
 
-@_query()
+@_query(f"{_one_case(3, 'next_day_vwap')} SELECT days.account_id, days.date, ROUND(LN(nav), 6) + 0.0 AS log_nav, slot.pos IS NOT NULL AS rebalance_attempted, done AS rebalanced, ROUND(traded / nav, 6) + 0.0 AS turnover_rate, ROUND(cost / nav, 6) + 0.0 AS cost_rate, CAST(n_holdings AS INT) AS n_holdings FROM days LEFT JOIN slot ON slot.account_id = days.account_id AND slot.date = days.date")
 def account_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_accounts(spark, sf_dir, 3, "next_day_vwap"), "account_nav", "turnover", "cost")
+    d = accounts.account_days(_portfolio(spark, sf_dir, 3, "next_day_vwap"))
+    rates = {c: F.col(c.removesuffix("_rate")) / F.col("account_nav") for c in ("turnover_rate", "cost_rate")}
+    return _round(d.select("account_id", "date", F.log("account_nav").alias("log_nav"), "rebalance_attempted", "rebalanced", *[v.alias(k) for k, v in rates.items()], "n_holdings"), "log_nav", *rates)
 
 
-@_query()
+@_query(f"{_one_case(2, 'close')} SELECT date, ROUND(traded / (2 * nav), 6) + 0.0 AS one_way_turnover, ROUND(cost / nav, 6) + 0.0 AS cost_rate, CAST(n_holdings AS BIGINT) AS n_holdings, n_rebalanced FROM total")
 def turnover_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(metrics.turnover_cost(_accounts(spark, sf_dir, 2, "close")), "one_way_turnover", "cost_rate")
+    return _round(metrics.turnover_cost(accounts.account_days(_portfolio(spark, sf_dir, 2, "close"))), "one_way_turnover", "cost_rate")
+
+
+@_query(f"""{_one_case(3, 'next_day_vwap')}, moved AS (SELECT account_id, date AS execution_date, nav, UNNEST(range(1, len(p) + 1)) AS k, UNNEST(p) AS was, UNNEST(wanted) AS now FROM days WHERE done)
+  SELECT moved.account_id, execution_date, slot.signal_date, index_code AS etf_code, CASE WHEN now > was THEN '买入' ELSE '卖出' END AS direction, ROUND(ABS(now - was) / nav, 6) + 0.0 AS amount_rate
+  FROM moved JOIN cd USING (k) JOIN slot ON slot.account_id = moved.account_id AND slot.date = execution_date WHERE ABS(now - was) / nav > 1e-9""")
+def trade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _portfolio(spark, sf_dir, 3, "next_day_vwap")
+    nav = accounts.account_days(rows).select("account_id", F.col("date").alias("execution_date"), "account_nav")
+    trades = accounts.trade_records(rows).join(nav, ["account_id", "execution_date"]).withColumn("amount_rate", F.col("amount") / F.col("account_nav")).where("amount_rate > 1e-9")
+    return _round(trades.select("account_id", "execution_date", "signal_date", "etf_code", "direction", "amount_rate"), "amount_rate")
+
+
+def _batch() -> list[tuple[str, int, str]]:
+    """Twenty cases: every filter profile with every window, staggered by 3 to 10 days, in turn with both fill modes.
+
+    (Prices of the tables are noise: what trades on them every day is worth nothing within a few years.)"""
+    every = [(p, n) for p in BATCH_PROFILES for n in config.TREND_WINDOWS]
+    return [(f"{p}_{n}", (3, 4, 6, 8, 10)[i % 5], config.EXECUTION_MODES[i % 2]) for i, (p, n) in enumerate(every)]
+
+
+_BATCH_FLAGS = " UNION ALL ".join(f"SELECT '{p}_' || trend_window AS case_id, date, index_code, return_r2, {_PROFILE_SQL[p].replace('PARTITION BY date', 'PARTITION BY trend_window, date')} AS eligible FROM trend LEFT JOIN metric USING (date, index_code)" for p in BATCH_PROFILES)
+_BATCH_SQL = f"""WITH RECURSIVE {IDX}, {RET}, trend AS ({' UNION ALL '.join(_trend_sql(n) for n in config.TREND_WINDOWS)}), {METRIC}, flag AS ({_BATCH_FLAGS}), {CAL},
+  ranked AS (SELECT case_id, date, index_code, ROW_NUMBER() OVER (PARTITION BY case_id, date ORDER BY ROUND(return_r2, 10) DESC NULLS LAST, index_code) AS k, COUNT(*) OVER (PARTITION BY case_id, date) AS n FROM flag WHERE eligible),
+  tw AS (SELECT case_id, date AS signal_date, index_code, 1.0 / COUNT(*) OVER (PARTITION BY case_id, date) AS weight FROM ranked WHERE k <= GREATEST(1, CEIL(0.1 * n - 1e-12))),
+  cs(case_id, d, mode) AS (VALUES {', '.join(map(str, _batch()))}), {oracles.accounts_sql()},
+  dd AS (SELECT *, nav / MAX(nav) OVER (PARTITION BY case_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM total)
+  SELECT case_id, MIN(date) AS start_date, MAX(date) AS end_date, COUNT(*) AS n_days, ROUND(LN(ARG_MAX(nav, date)), 6) + 0.0 AS log_nav, ROUND(MIN(drawdown), 6) + 0.0 AS max_drawdown, ROUND(AVG(traded / (2 * nav)), 6) + 0.0 AS mean_daily_turnover,
+  ROUND(AVG(traded / (2 * nav)) * {config.DAYS_A_YEAR}, 4) + 0.0 AS annual_turnover, ROUND(SUM(cost / nav), 6) + 0.0 AS total_cost_rate, ROUND(AVG(n_holdings), 6) + 0.0 AS mean_holdings, CAST(SUM(n_rebalanced) AS BIGINT) AS n_rebalances FROM dd GROUP BY case_id"""
+
+
+@_query(_BATCH_SQL)
+def case_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty cases in one job: a group for each account of each."""
+    bars = panel.index_bars(spark, sf_dir)
+    trends = _trends(spark, sf_dir, *config.TREND_WINDOWS).select("date", "trend_window", "index_code", "return_r2")
+    flagged = None
+    for p in BATCH_PROFILES:
+        one = select.filter_candidates(trends, None if p == "base" else _metrics(spark, sf_dir), p, ("trend_window", "date"))
+        one = one.select(F.concat_ws("_", F.lit(p), "trend_window").alias("case_id"), "date", "index_code", "return_r2", "eligible")
+        flagged = one if flagged is None else flagged.unionByName(one)
+    top = select.top_fraction(flagged, "return_r2", ("case_id", "date"))
+    weights = top.select("case_id", F.col("date").alias("signal_date"), F.col("index_code").alias("etf_code"), (1 / F.count("*").over(Window.partitionBy("case_id", "date"))).alias("weight"))
+    rows = accounts.run_portfolios(_calendar(spark, sf_dir), spark.createDataFrame(_batch(), _CASES_T), weights, bars.select("date", F.col("index_code").alias("etf_code"), "close", "vwap"), trades=False)
+    days = accounts.portfolio_days(rows)
+    p = metrics.performance(days, ("case_id",), trading=True).withColumn("log_nav", F.log("final_nav"))
+    out = ("log_nav", "max_drawdown", "mean_daily_turnover", "total_cost_rate", "mean_holdings")
+    return _round(_round(p.select("case_id", "start_date", "end_date", "n_days", *out, "annual_turnover", "n_rebalances"), *out), "annual_turnover", digits=4)
 
 
 # --- whole cases
@@ -649,6 +719,69 @@ for _combined in (False, True):
         _add_grid("vol", _vol_grid, _mode, _combined)
 
 
+#: Days between the rebalancings of an account in the full grids.
+GRID_STAGGER = {"bias": 5, "vol": 3}
+
+
+def _sets_sql(kind: str, windows: tuple, levels: tuple, mode: str, days: int) -> str:
+    """CTEs of a grid whose cells hold their top tenth, by staggered accounts; ends in ``cell``."""
+    metric = _metric_sql(windows if kind == "bias" else (), windows if kind == "vol" else ())
+    level = ", ".join(f"({x})" for x in levels)
+    values = "[" + ", ".join(f"{kind}_{n}" for n in windows) + "]"
+    window = ", ".join(f"({i}, {n})" for i, n in enumerate(windows, 1))
+    tenth = "[1:CAST(GREATEST(1, CEIL(0.1 * len(e) - 1e-12)) AS INT)]"
+    x = "SELECT method, date, \"window\", list_filter(list_transform(l, lambda c: {'place': c.place, 'code': c.code, 'v': c.m[w]}), lambda c: c.v IS NOT NULL) AS x FROM mem, wn"
+    if kind == "bias":
+        chosen = f"SELECT method, \"window\", level, date, e{tenth} AS codes FROM (SELECT method, \"window\", CAST(level AS DOUBLE) AS level, date, list_transform(list_filter(x, lambda c: c.v <= level + 1e-12), lambda c: c.code) AS e FROM wx, lv) WHERE len(e) > 0"
+    else:
+        order = "list_sort(list_transform(x, lambda c: {'v': -ROUND(c.v, 10), 'code': c.code, 'place': c.place}))"
+        chosen = f"""SELECT method, "window", level, date, list_transform(e{tenth}, lambda c: c.code) AS codes FROM (SELECT method, "window", level, date, list_sort(list_transform(o[1:CAST(GREATEST(1, CEIL(len(o) * level - 1e-12)) AS INT)], lambda c: {{'place': c.place, 'code': c.code}})) AS e
+  FROM (SELECT method, "window", CAST(level AS DOUBLE) AS level, date, o FROM (SELECT *, {order} AS o FROM wx), lv) WHERE len(o) > 0)"""
+    later = 0 if mode == "close" else 1
+    act = "date" if not later else "LEAD(date) OVER (ORDER BY date)"
+    fill = "close" if not later else "CASE WHEN price_date = date THEN vwap ELSE close END"
+    rounds, v = "", "v0"
+    for k in range(1, 6):
+        rounds += f", r{k} AS (SELECT *, v0 - {config.COST_RATE} * list_sum(list_transform(g, lambda c: abs(c.goal * {v} - c.p))) AS v{k} FROM {'legs' if k == 1 else f'r{k - 1}'})"
+        v = f"v{k}"
+    return f"""{TREND20}, {metric}, {CAL}, wn(w, "window") AS (VALUES {window}), lv(level) AS (VALUES {level}),
+  cand AS (SELECT date, index_code, 'return_r2' AS method, return_r2 AS score FROM trend WHERE return_r2 IS NOT NULL UNION ALL SELECT date, index_code, 'return_vol', return_vol FROM trend WHERE return_vol IS NOT NULL),
+  placed AS (SELECT method, date, index_code, ROW_NUMBER() OVER (PARTITION BY method, date ORDER BY ROUND(score, 10) DESC, index_code) AS place, {values} AS m FROM cand JOIN metric USING (date, index_code)),
+  mem AS (SELECT method, date, list({{'place': place, 'code': index_code, 'm': m}} ORDER BY place) AS l FROM placed GROUP BY 1, 2), wx AS ({x}), sets AS ({chosen}),
+  acts AS (SELECT * FROM (SELECT date AS signal, {act} AS date, CAST((pos - 1) % {days} AS INT) + 1 AS account FROM cal) WHERE date IS NOT NULL),
+  plan AS MATERIALIZED (SELECT method, "window", level, account, acts.date, array_to_string(codes, '|') AS s, LAG(array_to_string(codes, '|')) OVER w AS old, LAG(acts.date) OVER w AS before, LEAD(acts.date) OVER w IS NULL AS final FROM sets JOIN acts ON acts.signal = sets.date WINDOW w AS (PARTITION BY method, "window", level, account ORDER BY acts.date)),
+  moves AS (SELECT DISTINCT before, old, date, s FROM plan WHERE old IS NOT NULL),
+  held AS (SELECT *, UNNEST(string_split(old, '|')) AS index_code, 1.0 / len(string_split(old, '|')) AS w FROM moves), wanted AS (SELECT *, UNNEST(string_split(s, '|')) AS index_code, 1.0 / len(string_split(s, '|')) AS w FROM moves),
+  ends AS (SELECT *, (SELECT MAX(date) FROM cal) AS last, UNNEST(string_split(s, '|')) AS index_code, 1.0 / len(string_split(s, '|')) AS w FROM (SELECT DISTINCT date, s FROM plan WHERE final)),
+  dense AS (SELECT cal.date, c.index_code, p.date AS price_date, p.close, p.vwap FROM (cal CROSS JOIN (SELECT DISTINCT index_code FROM idx) c) ASOF JOIN idx p ON p.index_code = c.index_code AND cal.date >= p.date), known AS (SELECT date, index_code, close, {fill} AS fill FROM dense),
+  pieces AS (SELECT held.before, held.old, held.date, held.s, held.index_code, w * b.fill / a.fill AS p, 0.0 AS goal FROM held JOIN known a ON a.index_code = held.index_code AND a.date = before JOIN known b ON b.index_code = held.index_code AND b.date = held.date UNION ALL SELECT before, old, date, s, index_code, 0.0, w FROM wanted),
+  legs AS (SELECT before, old, date, s, SUM(p) AS v0, list({{'p': p, 'goal': goal}}) AS g FROM (SELECT before, old, date, s, index_code, SUM(p) AS p, SUM(goal) AS goal FROM pieces GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4){rounds},
+  worth AS (SELECT ends.date, s, LN(SUM(w * b.close / a.fill)) AS at_end FROM ends JOIN known a ON a.index_code = ends.index_code AND a.date = ends.date JOIN known b ON b.index_code = ends.index_code AND b.date = last GROUP BY 1, 2),
+  acc AS (SELECT method, "window", level, account, SUM(CASE WHEN plan.old IS NULL THEN -LN(1 + {config.COST_RATE}) ELSE LN({v}) END + CASE WHEN final THEN at_end ELSE 0 END) AS x, COUNT(*) AS n FROM plan LEFT JOIN r5 ON r5.before = plan.before AND r5.old = plan.old AND r5.date = plan.date AND r5.s = plan.s LEFT JOIN worth ON worth.date = plan.date AND worth.s = plan.s GROUP BY 1, 2, 3, 4),
+  tops AS (SELECT method, "window", level, CASE WHEN COUNT(*) < {days} THEN GREATEST(MAX(x), 0) ELSE MAX(x) END AS top FROM acc GROUP BY 1, 2, 3),
+  cell AS (SELECT method, "window", level, MAX(top) + LN((SUM(EXP(x - top)) + ({days} - COUNT(*)) * EXP(-GREATEST(MAX(top), -700))) / {days}) AS log_return, CAST(SUM(n) AS BIGINT) AS n_rebalances FROM acc JOIN tops USING (method, "window", level) GROUP BY 1, 2, 3)"""
+
+
+def _set_grid(spark: SparkSession, sf_dir: str, kind: str, windows: tuple, levels: tuple, mode: str, days: int) -> DataFrame:
+    bars = panel.index_bars(spark, sf_dir)
+    m = select.filter_metrics(bars, windows if kind == "bias" else (), windows if kind == "vol" else ())
+    sets = (grid.bias_sets if kind == "bias" else grid.volatility_sets)(_candidates(spark, sf_dir), m, windows, levels)
+    return grid.staggered_returns(sets, _calendar(spark, sf_dir), bars, ["method", "window", "level"], days, mode)
+
+
+def _add_set_grid(name: str, kind: str, windows: tuple, levels: tuple, mode: str, days: int) -> None:
+    @_query(f'WITH {_sets_sql(kind, windows, levels, mode, days)} SELECT method, "window", level, ROUND(log_return, 6) + 0.0 AS log_return, n_rebalances FROM cell', name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(_set_grid(spark, sf_dir, kind, windows, levels, mode, days).select("method", "window", "level", "log_return", "n_rebalances"), "log_return")
+
+
+# Every cell of both grids, the top tenth held by staggered accounts, in one fill mode each; the other mode on axes of a few levels.
+_add_set_grid("bias_grid_full", "bias", config.BIAS_WINDOWS, config.BIAS_UPPERS, "close", GRID_STAGGER["bias"])
+_add_set_grid("volatility_grid_full", "vol", config.VOL_WINDOWS, config.VOL_KEEP_RATIOS, "next_day_vwap", GRID_STAGGER["vol"])
+_add_set_grid("bias_grid_staggered_vwap", "bias", *GRID_BIAS, "next_day_vwap", 10)
+_add_set_grid("volatility_grid_staggered", "vol", *GRID_VOL, "close", 7)
+
+
 @_query(f"WITH {_grid_sql('vol')} SELECT method, level, " + ", ".join(f'ROUND(MAX(CASE WHEN "window" = {n} THEN log_return END), 6) + 0.0 AS w{n}' for n in GRID_VOL[0]) + " FROM cell GROUP BY 1, 2")
 def heatmap_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = grid.heatmap(_vol_grid(spark, sf_dir), GRID_VOL[0], "log_return")
