@@ -56,6 +56,10 @@ SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 #: landmark (or marked element) that lies between them a smaller one.
 NEXT_TO, SAME_PARENT, SAME_SECTION, STEP_SHARE, BORDER_SHARE = 2.0, 1.0, 4.0, 0.7, 0.2
 
+#: Elements between two blocks beyond which their edge is nothing; the share of the page's text that
+#: must stand elsewhere for a name to count in full.
+FAR, ENOUGH = 64, 0.25
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PIECES = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
@@ -68,11 +72,39 @@ class Block:
     text: str
     linked: int
     tag: str
-    path: tuple[int, ...]  # numbers of its element and those around it, outermost first; borders are negative
+    at: int  # its element in the page's tree
     main: bool
     boiler: bool
-    bad: bool
+    mark: int  # the element whose name calls it boilerplate or a comment, or 0
     good: bool
+    bad: float = 0.0  # how much that name is worth, see weigh_marks
+
+
+class Tree:
+    """Elements of a page by number: parent, depth, and whether a landmark or a marked element begins there. 0 is the page."""
+
+    __slots__ = ("border", "depth", "home", "parent")
+
+    def __init__(self) -> None:
+        self.parent, self.depth, self.border, self.home = [0], [0], [False], [0]
+
+    def add(self, parent: int, border: bool) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.border.append(border)
+        self.home.append(len(self.home) if border else self.home[parent])
+        return len(self.parent) - 1
+
+    def apart(self, a: int, b: int) -> tuple[int, int]:
+        """(elements, borders) passed between two elements; beyond FAR they do not count any more."""
+        steps = borders = 0
+        while a != b and steps < FAR:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            borders += self.border[a]
+            a = self.parent[a]
+            steps += 1
+        return steps, borders
 
 
 def marks_of(words: str) -> tuple[bool, bool, bool]:
@@ -93,20 +125,25 @@ class _Open:
     """An open element, with what it has of those around it."""
 
     name: str
-    path: tuple[int, ...]
+    at: int = 0
+    block: tuple[str, int] = ("", 0)  # name and number of the innermost element that is not inline
     main: bool = False
     boiler: bool = False
-    bad: bool = False
-    comment: bool = False
+    bad: int = 0  # the outermost element marked so
+    comment: int = 0
     good: bool = False
     skipped: bool = False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; markup, scripts, styles and comments are gone."""
+def blocks_of(page: str) -> tuple[list[Block], Tree]:
+    """Text blocks in page order, and the tree they stand in; markup, scripts, styles and comments are gone.
+
+    Time and memory follow the length of the page, however deep its elements nest."""
     out: list[Block] = []
-    stack = [_Open("", ())]
-    count, links, at = 0, 0, 0
+    tree = Tree()
+    stack = [_Open("")]
+    opened: dict[str, int] = {}
+    links, at = 0, 0
     text: list[str] = []
     linked = 0
 
@@ -115,11 +152,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = _WHITE.sub(" ", "".join(text)).strip()
             if joined:
-                k = len(stack) - 1
-                while k and stack[k].name in INLINE:
-                    k -= 1
                 top = stack[-1]
-                out.append(Block(joined, min(linked, len(joined)), stack[k].name, stack[k].path, top.main, top.boiler, top.bad or top.comment, top.good))
+                out.append(Block(joined, min(linked, len(joined)), *top.block, top.main, top.boiler, top.comment or top.bad, top.good))
             text.clear()
         linked = 0
 
@@ -135,6 +169,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         for x in stack[to:]:
             links -= x.name == "a"
+            opened[x.name] -= 1
         del stack[to:]
 
     while True:
@@ -153,6 +188,8 @@ def blocks_of(page: str) -> list[Block]:
         elif name == "br" and text:
             text.append(" ")
         if m[1]:
+            if not opened.get(name):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     close(k)
@@ -160,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
                 if name in INLINE and stack[k].name not in INLINE:
                     break
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
                     close(k)
@@ -178,7 +215,6 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID or m[3].endswith("/"):
             continue
         above = stack[-1]
-        count += 1
         bad = comment = good = skipped = False
         if m[3]:
             for key, value in _ATTRIBUTE.findall(m[3]):
@@ -198,23 +234,42 @@ def blocks_of(page: str) -> list[Block]:
         # a header inside an article heads that article
         lands = name in BOILER and not (name == "header" and above.main)
         border = lands or name in MAIN or bad or comment
-        path = (*above.path, -count if border else count)
-        stack.append(_Open(name, path, above.main or name in MAIN, above.boiler or lands, bad or (above.bad and not outer), comment or above.comment, good or above.good, above.skipped or skipped or name in SKIPPED))
+        here = tree.add(above.at, border)
+        opened[name] = opened.get(name, 0) + 1
+        block = above.block if name in INLINE else (name, here)
+        over = 0 if outer else above.bad
+        stack.append(_Open(name, here, block, above.main or name in MAIN, above.boiler or lands, over or (here if bad else 0), above.comment or (here if comment else 0), above.good or good, above.skipped or skipped or name in SKIPPED))
         links += name == "a"
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             close(len(stack) - 1)
     flush()
-    return out
+    weigh_marks(out)
+    return out, tree
+
+
+def weigh_marks(blocks: list[Block]) -> None:
+    """What a name is worth against a block: nothing where nearly all text of the page stands under it, as
+    then it tells of the page's layout; all where a share of ENOUGH of the text stands elsewhere, or some
+    of it in a main element. Links and the text of landmarks do not count."""
+    inside: dict[int, int] = {}
+    for b in blocks:
+        if not b.boiler and 3 * b.linked < len(b.text):
+            inside[b.mark] = inside.get(b.mark, 0) + b.text.count(" ") + 1
+    total = sum(inside.values())
+    told = not total or any([b.main and not b.mark and not b.boiler for b in blocks])
+    for b in blocks:
+        if b.mark:
+            b.bad = 1.0 if told else min(1.0, (1 - inside.get(b.mark, 0) / total) / ENOUGH)
 
 
 def features(b: Block) -> tuple[float, ...]:
     """Plain features of the text, then those of its place; a boilerplate mark takes away that of the main element."""
     words = b.text.count(" ") + 1
-    apart = b.boiler or b.bad
+    apart = b.boiler or b.bad > 0.5
     plain = (1.0, math.log(words), b.linked / len(b.text), float(bool(_SENTENCE.search(b.text))), float(b.tag == "li"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()))
-    return (*plain, float(b.main and not apart), float(b.boiler), float(b.bad), float(b.good and not apart))
+    return (*plain, float(b.main and not apart), float(b.boiler), b.bad, float(b.good and not apart))
 
 
 def fit_weights(pages: Iterable[str | None], steps: int = 25, ridge: float = RIDGE) -> tuple[float, ...]:
@@ -224,10 +279,10 @@ def fit_weights(pages: Iterable[str | None], steps: int = 25, ridge: float = RID
     stay as they are. Without both kinds: WEIGHTS."""
     rows, marks = [], []
     for page in pages:
-        for b in blocks_of(page or ""):
-            if b.main or b.boiler or b.bad:
+        for b in blocks_of(page or "")[0]:
+            if b.main or b.boiler or b.bad > 0.5:
                 rows.append(features(b)[:PLAIN])
-                marks.append(float(b.main and not (b.boiler or b.bad)))
+                marks.append(float(b.main and not (b.boiler or b.bad > 0.5)))
     if len(set(marks)) < 2:
         return WEIGHTS
     x, y = np.array(rows), np.array(marks)
@@ -314,42 +369,34 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 next_[u] += 1
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(blocks: list[Block], tree: Tree) -> list[tuple[int, int, float]]:
     """Edges between blocks in a row, between the nearest under one parent and in one section, by their distance in the page's tree."""
 
-    def distance(i: int, j: int) -> list[int]:
-        a, b = blocks[i].path, blocks[j].path
-        k, top = 0, min(len(a), len(b))
-        while k < top and a[k] == b[k]:
-            k += 1
-        return [*a[k:], *b[k:]]
-
-    edges = []
-    for i in range(len(blocks) - 1):
-        steps = distance(i, i + 1)
-        edges.append((i, i + 1, NEXT_TO * STEP_SHARE ** max(0, len(steps) - 2) * BORDER_SHARE ** sum([x < 0 for x in steps])))
+    def edge(i: int, j: int, cost: float) -> tuple[int, int, float]:
+        steps, borders = tree.apart(blocks[i].at, blocks[j].at)
+        return i, j, cost * STEP_SHARE ** max(0, steps - 2) * BORDER_SHARE**borders
+
+    edges = [edge(i, i + 1, NEXT_TO) for i in range(len(blocks) - 1)]
     last: dict[tuple[str, int], int] = {}
     for i, b in enumerate(blocks):
         # the innermost bordered element around it is the section it belongs to
-        home = next((x for x in reversed(b.path) if x < 0), 0)
-        for key, cost in ((("parent", b.path[-2] if len(b.path) > 1 else 0), SAME_PARENT), (("section", home), SAME_SECTION)):
+        for key, cost in ((("parent", tree.parent[b.at]), SAME_PARENT), (("section", tree.home[b.at]), SAME_SECTION)):
             if key in last:
-                steps = distance(last[key], i)
-                edges.append((last[key], i, cost * STEP_SHARE ** max(0, len(steps) - 2) * BORDER_SHARE ** sum([x < 0 for x in steps])))
+                edges.append(edge(last[key], i, cost))
             last[key] = i
     return edges
 
 
-def content(blocks: list[Block], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
+def content(blocks: list[Block], tree: Tree, weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
     """Labels of the minimum cut: a block's log-odds are its capacity to one terminal or the other."""
     z = [log_odds(b, weights) for b in blocks]
-    return min_cut([max(0.0, x) for x in z], [max(0.0, -x) for x in z], smoothness(blocks))
+    return min_cut([max(0.0, x) for x in z], [max(0.0, -x) for x in z], smoothness(blocks, tree))
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
     """Content blocks joined by an empty line; empty for a null or empty page."""
-    blocks = blocks_of(page or "")
-    return "\n\n".join(b.text for b, keep in zip(blocks, content(blocks, weights), strict=True) if keep)
+    blocks, tree = blocks_of(page or "")
+    return "\n\n".join(b.text for b, keep in zip(blocks, content(blocks, tree, weights), strict=True) if keep)
 
 
 def sampled_pages(pages: DataFrame, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
