@@ -21,6 +21,8 @@ from panelloom.config import COST_RATE, EXECUTION_MODES, STAGGER_DAYS
 BUY, SELL = "买入", "卖出"
 #: A position of a smaller share of its account is what rounding left and counts as none.
 DUST = 1e-9
+#: Nor is what rounding left in cash traded, where all else cannot be: a part of the account up to this.
+IDLE = 1e-12
 DAY_COLUMNS = "date date, account_nav double, rebalance_attempted boolean, rebalanced boolean, turnover double, cost double, n_holdings int"
 TRADE_COLUMNS = "execution_date date, signal_date date, etf_code string, direction string, price double, amount double, trade_cost double"
 
@@ -69,15 +71,16 @@ def follow(days: int, acts: list[tuple[int, np.ndarray | None]], close: np.ndarr
                 idle = (units > 0) & ~able
                 frozen = float((units[idle] * close[day, idle]).sum())
                 part = cash + float(value.sum())
-                # weights are of the whole account, of which what is frozen cannot be traded
-                goal = weight[able] * ((part + frozen) / part if part else 0.0)
-                goal /= max(1.0, float(goal.sum()))
-                after = solve_after(value, cash, goal, rate)
-                wanted = goal * after
-                units = units.copy()
-                units[able] = wanted / price[able]
-                cash = after - float(wanted.sum())
-                trade = (value, wanted, price[able], able, rate * float(np.abs(wanted - value).sum()))
+                if part > IDLE * (part + frozen):
+                    # weights are of the whole account, of which what is frozen cannot be traded
+                    goal = weight[able] * ((part + frozen) / part)
+                    goal /= max(1.0, float(goal.sum()))
+                    after = solve_after(value, cash, goal, rate)
+                    wanted = goal * after
+                    units = units.copy()
+                    units[able] = wanted / price[able]
+                    cash = after - float(wanted.sum())
+                    trade = (value, wanted, price[able], able, rate * float(np.abs(wanted - value).sum()))
         yield day, acts[k + 1][0] if k + 1 < len(acts) else days, units, cash, trade
 
 

@@ -98,6 +98,18 @@ def daily_factor_rows(pool: DataFrame, members: DataFrame, trends: DataFrame) ->
     return active.join(trends, ["date", "index_code"])
 
 
+def union_checked(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Tables of several files as one, a row for each key. Files overlap, and what they repeat counts once;
+    where they disagree in any value, null or not, the query fails and names the key."""
+    every = reduce(DataFrame.unionByName, parts)
+    values = [c for c in every.columns if c not in keys]
+    same = [F.min(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))).eqNullSafe(F.max(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")))) for c in values]
+    found = every.groupBy(*keys).agg(*[F.first(c).alias(c) for c in values], reduce(lambda a, b: a & b, same, F.lit(True)).alias("_same"))
+    what = F.concat(F.lit("files disagree at "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    checked = F.when(F.col("_same"), F.lit(True)).otherwise(F.raise_error(what).cast("boolean"))
+    return found.where(checked).select(*every.columns)
+
+
 def union_trends(parts: Sequence[DataFrame]) -> DataFrame:
-    """Tables of several files as one; rows that overlapping files repeat count once."""
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["date", "index_code", "trend_window"])
+    """Factor tables of several files as one, see union_checked."""
+    return union_checked(parts, ("date", "index_code", "trend_window"))

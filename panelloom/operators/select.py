@@ -19,15 +19,15 @@ def filter_metrics(bars: DataFrame, bias_windows: Sequence[int] = (BIAS_WINDOW,)
     vol: sample deviation of the last n daily returns. Null without enough history.
 
     A window is the difference of two running sums, its end's and that of n rows before, so
-    each costs two look-ups whatever its length. The sums are exact decimals of 18 places:
-    their differences lose nothing to the length of the history."""
+    each costs two look-ups whatever its length. The sums are exact decimals (18 places of
+    closes, 24 of returns): their differences lose nothing to the length of the history."""
     by = Window.partitionBy("index_code").orderBy("date")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,18)")).over(so_far), F.lit(0).cast("decimal(38,18)"))
+    exact = lambda c, places: F.coalesce(F.sum(c.cast(f"decimal(38,{places})")).over(so_far), F.lit(0).cast(f"decimal(38,{places})"))
     base = bars.select("index_code", "date", "close").withColumn("ret", ratio(F.col("close"), F.lag("close").over(by)) - 1)
-    sums = {"_n": F.count("close").over(so_far), "_s": exact(F.col("close"))}
+    sums = {"_n": F.count("close").over(so_far), "_s": exact(F.col("close"), 18)}
     if vol_windows:
-        sums |= {"_k": F.count("ret").over(so_far), "_r": exact(F.col("ret")), "_q": exact(F.col("ret") * F.col("ret"))}
+        sums |= {"_k": F.count("ret").over(so_far), "_r": exact(F.col("ret"), 24), "_q": exact(F.col("ret") * F.col("ret"), 24)}
     base = base.withColumns(sums)
 
     def inside(name: str, n: int) -> Column:

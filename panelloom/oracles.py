@@ -20,6 +20,7 @@ def accounts_sql(rate: float = config.COST_RATE, rounds: int = 6) -> str:
     q = f"SELECT *, {each('(w IS NOT NULL AND coalesce(f[i], 0) > 0 AND (u[i] > 0 OR w[i] > 0))')} AS able FROM ({q})"
     q = f"SELECT *, {each('CASE WHEN able[i] THEN u[i] * f[i] ELSE 0 END')} AS p, list_sum({each('CASE WHEN NOT able[i] THEN u[i] * m[i] ELSE 0 END')}) AS frozen FROM ({q})"
     q = f"SELECT *, cash + list_sum(p) AS part FROM ({q})"
+    q = f"SELECT * REPLACE ({each('able[i] AND part > 1e-12 * (part + frozen)')} AS able, {each('CASE WHEN part > 1e-12 * (part + frozen) THEN p[i] ELSE 0 END')} AS p) FROM ({q})"
     q = f"SELECT *, {each('CASE WHEN able[i] AND part <> 0 THEN w[i] * (part + frozen) / part ELSE 0 END')} AS g0 FROM ({q})"
     q = f"SELECT *, {each('g0[i] / greatest(1, list_sum(g0))')} AS g, part AS v0 FROM ({q})"
     for k in range(rounds):
@@ -36,3 +37,20 @@ def accounts_sql(rate: float = config.COST_RATE, rounds: int = 6) -> str:
   path(case_id, account_id, pos, u, cash, nav, traded, done, p, wanted) AS (SELECT case_id, CAST(unnest(range(1, d + 1)) AS INT), 0, (SELECT list(0.0::DOUBLE) FROM cd), 1.0::DOUBLE / d, 1.0::DOUBLE / d, 0.0::DOUBLE, FALSE, (SELECT list(0.0::DOUBLE) FROM cd), (SELECT list(0.0::DOUBLE) FROM cd) FROM cs UNION ALL {step}),
   days AS (SELECT path.*, dy.date, {rate} * traded AS cost, len(list_filter(range(1, len(u) + 1), lambda i: u[i] * m[i] > 1e-9 * nav)) AS n_holdings FROM path JOIN dy USING (pos)),
   total AS (SELECT case_id, date, SUM(nav) AS nav, SUM(traded) AS traded, SUM(cost) AS cost, SUM(n_holdings) AS n_holdings, COUNT(*) FILTER (WHERE done) AS n_rebalanced FROM days GROUP BY 1, 2)"""
+
+
+def linkage_sql(members: str, pairs: str, thresholds: tuple[float, ...]) -> str:
+    """CTEs of complete linkage step by step, from members(selection_date, index_code) and pairs(selection_date, code_a, code_b, corr).
+
+    Ends in ``clusters(selection_date, corr_threshold, index_code, cluster_id)``. The state is a matrix as
+    lists; each step merges the closest two clusters, of equal ones the smallest."""
+    pick = "list_min(list_filter(flatten(list_transform(range(1, len(d) + 1), lambda i: list_transform(range(i + 1, len(d) + 1), lambda j: {'d': d[i][j], 'i': i, 'j': j}))), lambda x: x.d IS NOT NULL))"
+    merged = "list_transform(range(1, len(d) + 1), lambda r: list_transform(range(1, len(d) + 1), lambda c: CASE WHEN r = m.j OR c = m.j THEN NULL WHEN r = m.i THEN CASE WHEN d[m.i][c] IS NULL OR d[m.j][c] IS NULL THEN NULL ELSE greatest(d[m.i][c], d[m.j][c]) END WHEN c = m.i THEN CASE WHEN d[r][m.i] IS NULL OR d[r][m.j] IS NULL THEN NULL ELSE greatest(d[r][m.i], d[r][m.j]) END ELSE d[r][c] END))"
+    return f"""mb AS (SELECT selection_date, index_code, ROW_NUMBER() OVER (PARTITION BY selection_date ORDER BY index_code) AS k FROM {members}),
+  cell AS (SELECT a.selection_date, a.k AS r, b.k AS c, 1 - p.corr AS x FROM mb a JOIN mb b USING (selection_date) LEFT JOIN {pairs} p ON p.selection_date = a.selection_date AND p.code_a = LEAST(a.index_code, b.index_code) AND p.code_b = GREATEST(a.index_code, b.index_code) AND a.k <> b.k),
+  start AS (SELECT selection_date, list(row ORDER BY r) AS d FROM (SELECT selection_date, r, list(x ORDER BY c) AS row FROM cell GROUP BY 1, 2) GROUP BY 1),
+  tree(selection_date, corr_threshold, d, lab, go) AS (SELECT selection_date, CAST(t AS DOUBLE), d, list_transform(range(1, len(d) + 1), lambda i: CAST(i AS BIGINT)), TRUE FROM start, (VALUES {', '.join(f'({t})' for t in thresholds)}) v(t)
+    UNION ALL SELECT selection_date, corr_threshold, {merged}, list_transform(lab, lambda x: CASE WHEN x = m.j THEN m.i ELSE x END), TRUE FROM (SELECT *, {pick} AS m FROM tree) WHERE m IS NOT NULL AND m.d <= 1 - corr_threshold + 1e-12),
+  final AS (SELECT selection_date, corr_threshold, arg_min(lab, len(list_distinct(lab))) AS lab FROM tree GROUP BY 1, 2),
+  tops AS (SELECT selection_date, corr_threshold, UNNEST(range(1, len(lab) + 1)) AS k, UNNEST(lab) AS top FROM final),
+  clusters AS (SELECT tops.selection_date, corr_threshold, index_code, CAST(DENSE_RANK() OVER (PARTITION BY tops.selection_date, corr_threshold ORDER BY top) AS INT) AS cluster_id FROM tops JOIN mb ON mb.selection_date = tops.selection_date AND mb.k = tops.k)"""

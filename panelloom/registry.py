@@ -293,6 +293,15 @@ def price_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _price(factor.price_intervals(_pool(spark, sf_dir).select("selection_date", "index_code"), panel.index_bars(spark, sf_dir)), "close")
 
 
+@_query(f"WITH {POOL}, {IDX}, {INTERVAL} SELECT DISTINCT span.index_code, date, {_price_sql("close")} FROM span JOIN num ON num.index_code = span.index_code AND num.k BETWEEN lo - 60 AND hi WHERE lo IS NOT NULL")
+def price_files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price tables of all pools, which overlap, as one; a conflict would fail the query."""
+    rows = factor.price_intervals(_pool(spark, sf_dir).select("selection_date", "index_code"), panel.index_bars(spark, sf_dir))
+    odd = F.pmod(F.month("selection_date"), F.lit(2))
+    parts = [rows.where(odd == k).select("index_code", "date", "close") for k in (0, 1)]
+    return _price(factor.union_checked(parts, ("index_code", "date")), "close")
+
+
 @_query(f"WITH {POOL}, {TREND20}, act AS (SELECT cal.date, p.selection_date FROM cal ASOF JOIN plan p ON cal.date > p.selection_date) SELECT trend.date, act.selection_date AS pool_date, index_code, etf_code, trend_window, ROUND(return_r2, 6) + 0.0 AS return_r2, ROUND(return_vol, 6) + 0.0 AS return_vol FROM act JOIN pool USING (selection_date) JOIN trend USING (date, index_code)")
 def daily_factor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = factor.active_pool(_calendar(spark, sf_dir), _plans(spark, sf_dir))
@@ -390,7 +399,9 @@ def cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _add_linkage(label: str, threshold: float) -> None:
-    @_query(None, f"complete_linkage_{label}")
+    one = "all_m AS (SELECT DISTINCT DATE '2000-01-01' AS selection_date, index_code FROM pan), all_p AS (SELECT DATE '2000-01-01' AS selection_date, code_a, code_b, corr FROM pairs)"
+
+    @_query(f"WITH RECURSIVE {MON}, {COMMON}, {PANEL}, {PAIRS}, {one}, {oracles.linkage_sql('all_m', 'all_p', (threshold,))} SELECT corr_threshold, index_code, cluster_id FROM clusters", f"complete_linkage_{label}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         codes = _panel(spark, sf_dir).select("index_code").distinct()
         return cluster.complete_linkage(codes, _pairs(spark, sf_dir), (threshold,))
@@ -601,17 +612,33 @@ def snapshot_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(pairs.select("selection_date", "code_a", "code_b", "corr"), "corr")
 
 
-@_query()
+def _snapshot_sql(thresholds: tuple[float, ...]) -> str:
+    return f"WITH RECURSIVE {POOL}, {MON}, {SNAP}, {oracles.linkage_sql('(SELECT DISTINCT selection_date, index_code FROM pool)', 'spair', thresholds)}"
+
+
+@_query(f"{_snapshot_sql((CASE.correlation_threshold,))} SELECT c.selection_date, c.index_code, cluster_id, etf_code, ROUND(avg_turnover_20d, 4) AS avg_turnover_20d FROM clusters c JOIN pool USING (selection_date, index_code)")
 def snapshot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(cases.snapshot_clusters(_case_panels(spark, sf_dir), CASE.correlation_threshold), "avg_turnover_20d", digits=4)
 
 
+@_query(f"""{_snapshot_sql(config.CORRELATION_THRESHOLDS)}, own AS (SELECT c.*, etf_code, avg_turnover_20d, category, ROW_NUMBER() OVER w AS k, FIRST_VALUE(c.index_code) OVER w AS rep FROM clusters c JOIN pool USING (selection_date, index_code) WINDOW w AS (PARTITION BY selection_date, corr_threshold, cluster_id ORDER BY ROUND(avg_turnover_20d, 6) DESC, etf_code)),
+  low AS (SELECT a.selection_date, a.corr_threshold, a.cluster_id, MIN(corr) AS m FROM own a JOIN own b USING (selection_date, corr_threshold, cluster_id) JOIN spair p ON p.selection_date = a.selection_date AND p.code_a = a.index_code AND p.code_b = b.index_code GROUP BY 1, 2, 3)
+  SELECT own.selection_date, own.cluster_id, k = 1 AS is_representative, etf_code, p_name AS etf_name, own.category, own.index_code, p_brand AS index_name, ROUND(avg_turnover_20d, 4) AS avg_turnover_20d,
+  ROUND(CASE WHEN k = 1 THEN 1.0 ELSE corr END, 6) + 0.0 AS corr_to_representative, ROUND(m, 6) + 0.0 AS min_corr_in_cluster, own.corr_threshold, ROUND(1 - own.corr_threshold, 10) AS dist_threshold
+  FROM own JOIN part ON p_partkey = etf_code LEFT JOIN low USING (selection_date, corr_threshold, cluster_id) LEFT JOIN spair p ON p.selection_date = own.selection_date AND code_a = LEAST(own.index_code, rep) AND code_b = GREATEST(own.index_code, rep)""")
+def snapshot_cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thresholds from one run of the linkage; the report's twelve columns."""
+    found, pairs = cases.snapshot_clusterings(_case_panels(spark, sf_dir), config.CORRELATION_THRESHOLDS)
+    names = panel.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("etf_code"), F.col("p_name").alias("etf_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("index_name"))
+    d = cluster.snapshot_detail(found, pairs, names)
+    return _round(_round(d, "avg_turnover_20d", digits=4), "corr_to_representative", "min_corr_in_cluster")
+
+
 @_query()
 def case_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cases.run_case(CASE, _case_panels(spark, sf_dir))
-    both = found["performance_close"].unionByName(found["performance_next_day_vwap"])
-    out = ("final_nav", "total_return", "max_drawdown")
-    return _round(both.select("execution_mode", "start_date", "end_date", "n_days", *out), *out)
+    p = cases.run_case(CASE, _case_panels(spark, sf_dir))["performance"].withColumn("log_nav", F.log("final_nav"))
+    out = ("log_nav", "max_drawdown", "mean_daily_turnover", "total_cost_rate", "mean_holdings")
+    return _round(p.select("execution_mode", "start_date", "end_date", "n_days", *out, "n_rebalances"), *out)
 
 
 # --- performance

@@ -14,11 +14,21 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def write_years(df: DataFrame, path: str, years: Iterable[int], date: str = "date") -> list[int]:
-    """Factor rows by year; returns the years asked for that have no row."""
+    """Factor rows by year, a partition for each of the years asked for: one without rows gets a file that
+    has the columns only. Returns those years."""
     write_partitions(df.withColumn("year", F.year(date)), path, ["year"])
     wanted = df.sparkSession.createDataFrame([(int(y),) for y in years], "year int")
     have = df.select(F.year(date).alias("year")).distinct()
-    return sorted(r[0] for r in wanted.join(have, "year", "left_anti").collect())
+    empty = sorted(r[0] for r in wanted.join(have, "year", "left_anti").collect())
+    nothing = df.sparkSession.createDataFrame([], df.schema).repartition(1)
+    for y in empty:
+        nothing.write.mode("overwrite").parquet(f"{path}/year={y}")
+    return empty
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def remove_partitions(spark: SparkSession, path: str, column: str, keep: Iterable[str]) -> int:

@@ -54,7 +54,7 @@ def account_path(dates: list, acts: dict, targets: dict, close: dict, fill: dict
                 price.append(prices[c])
                 value.append(held.get(c, 0.0) * prices[c])
                 weight.append(target.get(c, 0.0))
-            if move:
+            if move and cash + sum(value) > 1e-12 * (cash + sum(value) + frozen):
                 # weights are of the whole account, of which what is frozen cannot be traded
                 part = cash + sum(value)
                 goal = np.array(weight) * ((part + frozen) / part if part else 0.0)
