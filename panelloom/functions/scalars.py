@@ -29,8 +29,19 @@ def file_date(c: Column) -> Column:
 
 
 def fifteen_digits(c: Column) -> Column:
-    """Text of a number with 15 significant digits (for sinks only)."""
-    return F.format_string("%.14e", c)
+    """Text of a number with 15 significant digits at most (for sinks only): plain from 0.0001 up to 15
+    digits before the point, else with an exponent; no zeros at the end of a fraction. The shortest text
+    that tells the number from others is rounded, half up."""
+    e = F.format_string("%.14e", c)
+    sign = F.when(e.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.substring_index(e, "e", 1), "[-.]", "")
+    power = F.substring_index(e, "e", -1).cast("int")
+    bare = lambda text: F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
+    whole = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2, F.lit(15)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    far = F.concat(F.rtrim(bare(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2), F.lit(14)))), F.lit(".")), F.lit("e"), F.substring_index(e, "e", -1))
+    plain = F.when(power >= 0, F.rtrim(bare(whole), F.lit("."))).otherwise(F.rtrim(bare(small), F.lit(".")))
+    return F.when(c == 0, F.lit("0")).otherwise(F.concat(sign, F.when(power.between(-4, 14), plain).otherwise(far)))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ rounded and ranks are by rounded scores.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from panelloom import config, oracles
 from panelloom.functions import scalars
 from panelloom.operators import accounts, cluster, factor, grid, metrics, returns, select, simulate, universe
 from panelloom.plans import cases
-from panelloom.sources import panel
+from panelloom.sources import panel, workbook
 from panelloom.streaming import bars as stream_bars
 
 START = "1996-01-01"
@@ -302,6 +304,23 @@ def price_files_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _price(factor.union_checked(parts, ("index_code", "date")), "close")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this run under the one that executors share; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(f"WITH {POOL} SELECT selection_date, index_code, CAST(etf_code AS VARCHAR) AS etf_code, category, ROUND(avg_turnover_20d, 4) AS avg_turnover_20d FROM pool")
+def workbook_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools written as one workbook for each selection date, and read from those files."""
+    pool = _round(_pool(spark, sf_dir), "avg_turnover_20d", digits=4)
+    rows = pool.select(F.concat(scalars.file_date(F.col("selection_date")), F.lit(".xlsx")).alias("file"), F.col("selection_date").alias("日期"), F.col("index_code").alias("对标指数代码"), F.col("etf_code").cast("string").alias("代码"), F.col("category").alias("类别大类"), F.col("avg_turnover_20d").alias("过去20个交易日平均成交额"))
+    folder = _scratch(spark, "pools")
+    workbook.write_workbooks([workbook.Sheet(workbook.POOL_SHEET, rows, ("对标指数代码",))], folder).count()  # writes
+    back = workbook.scan_workbooks(spark, folder, workbook.POOL_SHEET, ("日期", "对标指数代码", "代码", "类别大类", "过去20个交易日平均成交额"))
+    return back.select(F.to_date("日期").alias("selection_date"), F.col("对标指数代码").alias("index_code"), F.col("代码").alias("etf_code"), F.col("类别大类").alias("category"), F.col("过去20个交易日平均成交额").cast("double").alias("avg_turnover_20d"))
+
+
 @_query(f"WITH {POOL}, {TREND20}, act AS (SELECT cal.date, p.selection_date FROM cal ASOF JOIN plan p ON cal.date > p.selection_date) SELECT trend.date, act.selection_date AS pool_date, index_code, etf_code, trend_window, ROUND(return_r2, 6) + 0.0 AS return_r2, ROUND(return_vol, 6) + 0.0 AS return_vol FROM act JOIN pool USING (selection_date) JOIN trend USING (date, index_code)")
 def daily_factor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = factor.active_pool(_calendar(spark, sf_dir), _plans(spark, sf_dir))
@@ -355,7 +374,7 @@ def asof_pool_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _price(select.asof_prices(signals, panel.index_bars(spark, sf_dir)), "close")
 
 
-@_query(f"WITH {IDX}, {RET}, {METRIC} SELECT strftime(date, '%Y_%m_%d') AS file_date, index_code, printf('%.14e', volume) AS volume, CASE WHEN {_BIAS_OK} THEN '是' ELSE '否' END AS passes FROM metric JOIN (SELECT date, index_code, volume FROM idx) USING (date, index_code)")
+@_query(f"WITH {IDX}, {RET}, {METRIC} SELECT strftime(date, '%Y_%m_%d') AS file_date, index_code, printf('%.15g', volume) AS volume, CASE WHEN {_BIAS_OK} THEN '是' ELSE '否' END AS passes FROM metric JOIN (SELECT date, index_code, volume FROM idx) USING (date, index_code)")
 def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = panel.index_bars(spark, sf_dir).select("date", "index_code", "volume")
     m = _metrics(spark, sf_dir).join(bars, ["date", "index_code"])
@@ -802,9 +821,9 @@ def _add_set_grid(name: str, kind: str, windows: tuple, levels: tuple, mode: str
         return _round(_set_grid(spark, sf_dir, kind, windows, levels, mode, days).select("method", "window", "level", "log_return", "n_rebalances"), "log_return")
 
 
-# Every cell of both grids, the top tenth held by staggered accounts, in one fill mode each; the other mode on axes of a few levels.
-_add_set_grid("bias_grid_full", "bias", config.BIAS_WINDOWS, config.BIAS_UPPERS, "close", GRID_STAGGER["bias"])
-_add_set_grid("volatility_grid_full", "vol", config.VOL_WINDOWS, config.VOL_KEEP_RATIOS, "next_day_vwap", GRID_STAGGER["vol"])
+# Every level with every sixth window, the top tenth held by staggered accounts, in one fill mode each; the other mode on axes of a few levels.
+_add_set_grid("bias_grid_levels", "bias", config.BIAS_WINDOWS[4::6], config.BIAS_UPPERS, "close", GRID_STAGGER["bias"])
+_add_set_grid("volatility_grid_levels", "vol", config.VOL_WINDOWS[4::6], config.VOL_KEEP_RATIOS, "next_day_vwap", GRID_STAGGER["vol"])
 _add_set_grid("bias_grid_staggered_vwap", "bias", *GRID_BIAS, "next_day_vwap", 10)
 _add_set_grid("volatility_grid_staggered", "vol", *GRID_VOL, "close", 7)
 
