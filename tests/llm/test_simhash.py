@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -160,3 +161,33 @@ def test_stage_joins_by_jaccard_of_five_word_shingles(spark, space_of):
     rows = [(1, " ".join(base)), (2, " ".join(one)), (3, " ".join(four)), (4, " ".join(five)), (5, "  "), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs, space_of("s")).collect()) == [1, 4, 5]
+
+
+def test_one_of_each_against_an_exact_join(spark, space_of):
+    """Kept rows of 1,000 documents against all pairs of similarity 0.8, found by an exact prefix filter."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: simhash.shingle_hashes(r.text) for r in docs.collect()}
+    often = Counter(x for s in rows.values() for x in s.tolist())
+    up = {i: i for i in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    seen = defaultdict(list)
+    for i in sorted(rows, key=lambda i: len(rows[i])):
+        s = sorted(rows[i].tolist(), key=lambda x: (often[x], x))
+        # two sets of similarity 0.8 share one of the rarest fifth of either, and one more
+        first = s[: len(s) - -(-len(s) * 4 // 5) + 1]
+        for j in {j for x in first for j in seen[x]}:
+            n = len(np.intersect1d(rows[i], rows[j], assume_unique=True))
+            if n >= 0.8 * (len(rows[i]) + len(rows[j]) - n) - 1e-9:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+        for x in first:
+            seen[x].append(i)
+    wordless = [i for i in rows if not len(rows[i])]
+    want = {i for i in rows if find(i) == i} - set(wordless[1:])
+    got = {r.doc_id for r in simhash.one_of_each(docs, space_of("exact")).collect()}
+    assert got == want and len(want) < len(rows) - 50
