@@ -56,9 +56,23 @@ def scan_csv(spark: SparkSession, folder: str, columns: tuple = BAR_COLUMNS) ->
     return _renamed(raw.withColumnsRenamed({c: c.lstrip("﻿") for c in raw.columns}), columns)
 
 
+#: Trades that one task aggregates, about.
+TASK_TRADES = 400_000
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades dealt out by instrument, so many parts that one has TASK_TRADES on average, however large the table is.
+
+    Few trades share an instrument and a day, so there is nothing to gain (and a table of
+    groups of each file split to hold) by adding them up before they are dealt out."""
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    parts = max(spark.sparkContext.defaultParallelism, -(-line.count() // TASK_TRADES))
+    return line.repartition(parts, "l_partkey")
+
+
 def etf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, etf_code, index_code, category, volume, amount, vwap, close) of each instrument and day."""
-    line = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("etf_code"), "l_quantity", "l_extendedprice")
+    line = trades(spark, sf_dir).select(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("etf_code"), "l_quantity", "l_extendedprice")
     daily = line.groupBy("date", "etf_code").agg(
         F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("amount"),
@@ -71,11 +85,11 @@ def etf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_bars(spark: SparkSession, sf_dir: str, by: str = "day") -> DataFrame:
     """(date, index_code, volume, amount, vwap, close) of each index and day, or month."""
     date = F.to_date("l_shipdate")
-    line = table(spark, sf_dir, "lineitem").select((date if by == "day" else F.trunc(date, "month")).alias("date"), "l_partkey", "l_quantity", "l_extendedprice")
-    # Trades of one part and day meet first, so the join to parts is of the panel's size.
-    daily = line.groupBy("date", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("a"), F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.count("*").alias("n"))
+    line = trades(spark, sf_dir).select((date if by == "day" else F.trunc(date, "month")).alias("date"), "l_partkey", "l_quantity", "l_extendedprice")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("index_code"))
-    total = daily.join(part, daily.l_partkey == part.p_partkey).groupBy("date", "index_code").agg(F.sum("q").alias("volume"), F.sum("a").alias("amount"), (F.sum("p") / F.sum("n")).alias("close"))
+    # Indexes are few, so their days are added up within tasks first.
+    joined = line.join(part, line.l_partkey == part.p_partkey)
+    total = joined.groupBy("date", "index_code").agg(F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"), (F.sum(F.col("l_extendedprice") / F.col("l_quantity")) / F.count("*")).alias("close"))
     return total.select("date", "index_code", "volume", "amount", (F.col("amount") / F.col("volume")).alias("vwap"), "close")
 
 

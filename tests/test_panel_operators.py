@@ -353,3 +353,17 @@ def test_missing_history_is_an_error(spark):
     select.require_history(two, 1)
     with pytest.raises(ValueError, match="A"):
         select.require_history(two, 2)
+
+
+def test_trades_are_dealt_out_in_parts_of_one_size(spark, sf_dir, monkeypatch):
+    """However many trades there are, a task adds up about so many, and no file split is grouped as a whole before."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    monkeypatch.setattr(panel, "TASK_TRADES", 100)
+    parts = -(-line.count() // 100)
+    assert panel.trades(spark, sf_dir).rdd.getNumPartitions() == max(parts, spark.sparkContext.defaultParallelism)
+    bars = panel.etf_bars(spark, sf_dir)
+    plan = bars._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    got = {(r.date, r.etf_code): (r.volume, round(r.close, 9)) for r in bars.collect()}
+    plain = line.groupBy(F.to_date("l_shipdate").alias("date"), "l_partkey").agg(F.sum("l_quantity").alias("v"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("c"))
+    assert got == {(r.date, r.l_partkey): (r.v, round(r.c, 9)) for r in plain.collect()}
