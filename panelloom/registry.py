@@ -198,12 +198,13 @@ def returns_60(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- universe
 
 
-def _turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.average_turnover(universe.turnover_windows(_plans(spark, sf_dir), _calendar(spark, sf_dir)), panel.etf_bars(spark, sf_dir))
+def _turnover(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    return universe.average_turnover(universe.turnover_windows(_plans(spark, sf_dir), _calendar(spark, sf_dir)), bars or panel.etf_bars(spark, sf_dir))
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.initial_screen(_turnover(spark, sf_dir), panel.etf_bars(spark, sf_dir))
+def _pool(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = bars or panel.etf_bars(spark, sf_dir)
+    return universe.initial_screen(_turnover(spark, sf_dir, bars), bars)
 
 
 @_query(f"WITH {ETF}, {CAL}, {PLAN}, {WIN}, {TURN} SELECT selection_date, etf_code, index_code, category, ROUND(avg_turnover_20d, 4) AS avg_turnover_20d FROM turn")
@@ -615,7 +616,17 @@ CASE = config.ExperimentCase("monthly", "bias_and_volatility", 0.7, "return_r2",
 
 
 def _case_panels(spark: SparkSession, sf_dir: str) -> cases.Panels:
-    return cases.Panels(_calendar(spark, sf_dir), _pool(spark, sf_dir), panel.index_bars(spark, sf_dir, "month"), panel.index_bars(spark, sf_dir), panel.etf_bars(spark, sf_dir), CASE_CLOSES)
+    """Each panel is made once and written, as the steps of a case read it many times."""
+    folder = _scratch(spark, "panels")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    etfs = written(panel.etf_bars(spark, sf_dir), "etfs")
+    calendar, pools = written(_calendar(spark, sf_dir), "calendar"), written(_pool(spark, sf_dir, etfs), "pools")
+    indexes = [written(panel.index_bars(spark, sf_dir, by), by) for by in ("month", "day")]
+    return cases.Panels(calendar, pools, *indexes, etfs, CASE_CLOSES)
 
 
 SNAP = f"""mem AS (SELECT selection_date, index_code, COUNT(*) OVER (PARTITION BY selection_date) AS members FROM pool), hist AS (SELECT m.selection_date, m.index_code, members, date, close FROM mem m JOIN mon USING (index_code) WHERE date <= m.selection_date),

@@ -185,3 +185,13 @@ def test_pending_cases_run_once(spark, tmp_path, sf_dir):
     assert spark.read.parquet(f"{path}/rows").where("kind = 'trade'").count() > 0
     with pytest.raises(ValueError):
         cases.run_pending([chosen[0], chosen[0]], panels, path)
+
+
+def test_case_panels_are_made_once(spark, sf_dir):
+    """The steps of a case read written panels, not the trades again."""
+    from panelloom import registry
+
+    p = registry._case_panels(spark, sf_dir)
+    for df in (p.calendar, p.pools, p.returns, p.indexes, p.etfs):
+        assert df.inputFiles() and not any("lineitem" in f for f in df.inputFiles())
+    assert p.pools.count() == registry._pool(spark, sf_dir).count()
