@@ -18,11 +18,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import Workspace, release, small_side, spread
 from panelloom.llm.graph import components
+from panelloom.llm.jaccard import pairs_across, parities, prefix
 from panelloom.llm.simhash import scramble, shingle_hashes
 
 SHINGLE_WORDS, SIMILARITY = 4, 0.8
@@ -72,24 +73,31 @@ def set_name(shingles: np.ndarray) -> int:
     return int(scramble(np.bitwise_xor.reduce(scramble(shingles), keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
-    for batch in batches:
-        n, node, labels, sketch = [], [], [], []
-        for text in batch.column(2):
-            shingles = shingle_hashes(text.as_py(), SHINGLE_WORDS)
-            n.append(len(shingles))
-            if not len(shingles):
-                node.append(None)
-                labels.append(None)
-                sketch.append(None)
-                continue
-            x, y = signature(minhashes(shingles))
-            node.append(set_name(shingles))
-            labels.append(x)
-            sketch.append(y)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(labels, longs), pa.array(sketch, longs)], ["doc_id", "body", "n_shingles", "node", "labels", "sketch"])
+def _sign(similarity: float):
+    """Rows (doc_id, body, text) to their sets: names, labels and sketches for the forest, sizes, parities and prefixes for the rest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            n, node, labels, sketch, parity, keys = [], [], [], [], [], []
+            for text in batch.column(2):
+                shingles = shingle_hashes(text.as_py(), SHINGLE_WORDS)
+                n.append(len(shingles))
+                if not len(shingles):
+                    for column in (node, labels, sketch, parity, keys):
+                        column.append(None)
+                    continue
+                x, y = signature(minhashes(shingles))
+                node.append(set_name(shingles))
+                labels.append(x)
+                sketch.append(y)
+                parity.append(parities(shingles))
+                keys.append(prefix(shingles, similarity).view(np.int64))
+            longs = pa.list_(pa.int64())
+            lists = [pa.array(x, longs) for x in (labels, sketch, parity, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], ["doc_id", "body", "n_shingles", "node", "labels", "sketch", "parity", "keys"])
+
+    return run
 
 
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +176,22 @@ def candidates(sets: DataFrame, space: Workspace, name: str, trees: int = TREES,
     return pairs.distinct()
 
 
+def crowded(sets: DataFrame, near: int) -> DataFrame:
+    """Nodes of the sets that share the least prefix of a tree with more others than are looked at: only of these can a link be missed by that."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.get("labels", 2 * t), 64 - 16 * LEAST_DEPTH).alias("start")))
+    rows = sets.select("node", F.explode(words).alias("w")).select("node", "w.*")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("tree", "start"))).where(F.col("n") > near + 1).select("node").distinct()
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
-    """(node, root) of the sets that links of Jaccard similarity connect; docs(body, text), sets(node, body, labels, sketch).
+    """(node, root) of the sets that links of Jaccard similarity connect; docs(body, text), sets(node, body, n, labels, sketch, parity, keys).
 
     What is connected needs no more links. So first the orders of CHAIN_TREES are
     followed, each set with the next one, which makes few groups of a crowd of
     copies; then all orders, with pairs between groups only: of every two groups the
-    likeliest pair, and where that is no link all others of the two."""
+    likeliest pair, and where that is no link all others of the two. In a crowd a set
+has more neighbours than are looked at; what links of different groups are left
+there share an element of their prefixes, and of those pairs all are tried."""
 
     def shingles_of(nodes: DataFrame, name: str) -> DataFrame:
         wanted = space.write(sets.select("node", "body").join(nodes, "node", "left_semi"), f"wanted-{name}")
@@ -198,16 +215,21 @@ def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity:
     groups = (F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
     pairs = candidates(rooted, space, "forest", TREES, near).select("a", "b", "bits", *groups)
     pairs = space.write(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
-    if pairs.isEmpty():
-        return roots
     held = held.unionByName(shingles_of(ends(pairs).join(held.select("node"), "node", "left_anti"), "2"))
     # Of equal pairs a hash chooses, so that no set is everyone's partner.
     likeliest = F.max_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("p")
     first = space.write(linked(pairs.groupBy("r", "s").agg(likeliest).select("r", "s", "p.a", "p.b")), "round-2")
     rest = pairs.select("a", "b", "r", "s").join(first.where("not linked").select("r", "s", F.col("a").alias("tried"), F.col("b").alias("with")), ["r", "s"]).where("a <> tried or b <> with")
     more = space.write(linked(rest.select("a", "b")), "round-3")
-    links = done.unionByName(first.select("a", "b", "linked")).unionByName(more).where("linked")
-    return space.write(components(links, space, "forest-2"), "roots-2")
+    tried = done.unionByName(first.select("a", "b", "linked")).unionByName(more)
+    roots = space.write(components(tried.where("linked"), space, "forest-2"), "roots-2")
+    crowd = sets.join(small_side(space.write(crowded(sets, near), "crowded"), 8), "node", "left_semi")
+    rest = space.write(pairs_across(crowd, roots, space, "rest", similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs-3")
+    if rest.isEmpty():
+        return roots
+    held = held.unionByName(shingles_of(ends(rest).distinct().join(held.select("node"), "node", "left_anti"), "3"))
+    last = space.write(linked(rest), "round-4")
+    return space.write(components(tried.unionByName(last).where("linked"), space, "forest-3"), "roots-3")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,10 +244,10 @@ def near_duplicates(docs: DataFrame, space: Workspace, similarity: float = SIMIL
     text. An empty table gives an empty result; extra columns are ignored. A very long
     text is one array of shingle hashes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("body"), F.col("text").cast("string").alias("text"))
-    signed = space.write(spread(texts).mapInArrow(_sign, "doc_id long, body long, n_shingles long, node long, labels array<long>, sketch array<long>"), "signed")
+    signed = space.write(spread(texts).mapInArrow(_sign(similarity), "doc_id long, body long, n_shingles long, node long, labels array<long>, sketch array<long>, parity array<long>, keys array<long>"), "signed")
     worded = signed.where("node is not null")
     # Copies meet in the partial step of the aggregate first.
-    sets = space.write(worded.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("body").alias("body"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "sets")
+    sets = space.write(worded.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("body").alias("body"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("labels", "sketch", "parity", "keys")]), "sets")
     roots = similar_sets(texts.select("body", "text"), sets, space, similarity)
     merged = sets.select("node", "first").join(small_side(roots, 16), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     label = merged.join(merged.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")

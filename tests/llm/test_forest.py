@@ -144,3 +144,21 @@ def test_names_tell_sets_apart():
     names = {forest.set_name(shingle_hashes(t, 4)) for t in ("a", "b", "a b", "b a", "a b c d", "a b c d e", "b c d e a")}
     assert len(names) == 7
     assert forest.set_name(shingle_hashes("A b C d", 4)) == forest.set_name(shingle_hashes("a  b c\nd", 4))
+
+
+def test_links_of_a_crowd_that_the_orders_do_not_reach(spark, space_of):
+    """Copies of one text that are similar to it and not to each other: the orders show each of many its nearest neighbours only."""
+    dice = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(203)]  # 200 shingles of four words
+    rows = [" ".join(base)]
+    for k in range(600):
+        copy = list(base)
+        for i in np.sort(dice.choice(40, 5, replace=False)):  # 20 shingles go: 180 of 220 are shared, of two copies 160 to 180 of 240
+            copy[5 * i + 1] = f"x{k}"
+        rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = forest.near_duplicates(docs, space_of("crowd")).collect()
+    sets = [set(zip(*(r.split()[i:] for i in range(4)), strict=False)) for r in rows]
+    want = [100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets]
+    assert sum(want) > 500
+    assert all(r.component_id == 0 for r in got if want[r.doc_id])
