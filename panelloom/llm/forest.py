@@ -14,6 +14,7 @@ many tasks, and what lies on both sides of a border meets in a second, small pas
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import Workspace, release, small_side, spread
 from panelloom.llm.graph import components
-from panelloom.llm.jaccard import pairs_across, parities, prefix
+from panelloom.llm.jaccard import WORDS, Shingles, join_rest, parities, possible, prefix
 from panelloom.llm.simhash import scramble, shingle_hashes
 
 SHINGLE_WORDS, SIMILARITY = 4, 0.8
@@ -106,13 +107,17 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-#: Columns of a row of an order: border (0 in the main pass), tree, the label's two words, the sketch, the set and its group.
-ORDER = ("border", "tree", "high", "low", "s0", "s1", "s2", "s3", "node", "root")
+#: Words of the parities that travel along: those of a set, folded.
+FOLDED = 8
+#: Columns of a row of an order: border (0 in the main pass), tree, the label's two words, the sketch, the set, its group, size and parities.
+ORDER = ("border", "tree", "high", "low", "s0", "s1", "s2", "s3", "node", "root", "n", *(f"p{k}" for k in range(FOLDED)))
 PAIR = ("a", "b", "bits", "root_a", "root_b")
 
 
-def neighbours(rows: np.ndarray, near: int = NEAR, least: int = LEAST_DEPTH, agree: int = AGREE) -> np.ndarray:
-    """Columns of PAIR, a < b: rows, in order, with up to ``near`` next ones of another group that share so deep a prefix and so many bits."""
+def neighbours(rows: np.ndarray, near: int = NEAR, least: int = LEAST_DEPTH, agree: int = AGREE, similarity: float = SIMILARITY) -> np.ndarray:
+    """Columns of PAIR, a < b: rows, in order, with up to ``near`` next ones of another group that share so deep a prefix and so many bits;
+    what sizes and parities rule out is no link and left out."""
+    size, parity = rows[10], rows[11:].view(np.uint64)
     found = [np.empty((len(PAIR), 0), np.int64)]
     high = rows[2].view(np.uint64)
     for k in range(1, min(near, rows.shape[1] - 1) + 1):
@@ -121,15 +126,15 @@ def neighbours(rows: np.ndarray, near: int = NEAR, least: int = LEAST_DEPTH, agr
             break  # rows in between share the prefix, too
         at = at[rows[9, at] != rows[9, at + k]]
         bits = VALUES - np.bitwise_count((rows[4:8, at] ^ rows[4:8, at + k]).view(np.uint64)).sum(axis=0, dtype=np.int64)
-        good = bits >= agree
-        left, right = rows[8:, at[good]], rows[8:, at[good] + k]
+        good = (bits >= agree) & possible(size, parity, at, at + k, similarity)
+        left, right = rows[8:10, at[good]], rows[8:10, at[good] + k]
         turned = left[0] > right[0]
         left, right = np.where(turned, right, left), np.where(turned, left, right)
         found.append(np.stack([left[0], right[0], bits[good], left[1], right[1]]))
     return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
-def _walk(borders: bool, near: int):
+def _walk(borders: bool, near: int, similarity: float):
     """Over the rows of one partition in their order: candidates, and where ``borders``, the first and last rows under the number of the border that they are at."""
 
     def batch_of(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
@@ -149,7 +154,7 @@ def _walk(borders: bool, near: int):
             if head.shape[1] < near:
                 head = np.concatenate([head, rows[:, : near - head.shape[1]]], axis=1)
             rows = np.concatenate([held, rows], axis=1)
-            yield batch_of(none, neighbours(rows, near))
+            yield batch_of(none, neighbours(rows, near, similarity=similarity))
             held = rows[:, -near:]
         if borders and held.shape[1]:
             edges = np.concatenate([head, held], axis=1)
@@ -159,20 +164,22 @@ def _walk(borders: bool, near: int):
     return run
 
 
-def candidates(sets: DataFrame, space: Workspace, name: str, trees: int = TREES, near: int = NEAR) -> DataFrame:
-    """Columns of PAIR of sets(node, labels, sketch, root): neighbours of other groups in the orders of the first ``trees`` trees, each pair once."""
+def candidates(sets: DataFrame, space: Workspace, name: str, trees: int = TREES, near: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """Columns of PAIR of sets(node, labels, sketch, n, parity, root): neighbours of other groups in the orders of the first ``trees`` trees, each pair once."""
     spark = sets.sparkSession
     longs = ", ".join(f"{c} long" for c in (*PAIR, *ORDER))
     labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("long").alias("tree"), F.get("labels", 2 * t).alias("high"), F.get("labels", 2 * t + 1).alias("low")))
-    rows = sets.select("node", "root", "sketch", F.explode(labels).alias("t")).select(F.lit(0).cast("long").alias("border"), "t.tree", "t.high", "t.low", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(4)], "node", "root")
+    folded = [F.get("parity", F.lit(k)) for k in range(WORDS)]
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), folded[k::FOLDED]).alias(f"p{k}") for k in range(FOLDED)]
+    rows = sets.select("node", "root", "sketch", "n", *folded, F.explode(labels).alias("t")).select(F.lit(0).cast("long").alias("border"), "t.tree", "t.high", "t.low", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(4)], "node", "root", "n", *[f"p{k}" for k in range(FOLDED)])
     parts = max(1, min(sets.count() * trees // LEAST_ROWS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
     order = ["border", "tree", "high", "low", "node"]
     ranged = rows.repartitionByRange(parts, *order[1:]).sortWithinPartitions(*order[1:])
-    walked = space.write(ranged.mapInArrow(_walk(True, near), longs), name)
+    walked = space.write(ranged.mapInArrow(_walk(True, near, similarity), longs), name)
     pairs = walked.where("a is not null").select(*PAIR)
     if parts > 1:  # so many rows for each border: a small table
         edges = walked.where("a is null").select(*ORDER).repartition("border").sortWithinPartitions(*order)
-        pairs = pairs.unionByName(edges.mapInArrow(_walk(False, near), longs).select(*PAIR))
+        pairs = pairs.unionByName(edges.mapInArrow(_walk(False, near, similarity), longs).select(*PAIR))
     return pairs.distinct()
 
 
@@ -190,46 +197,33 @@ def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity:
     followed, each set with the next one, which makes few groups of a crowd of
     copies; then all orders, with pairs between groups only: of every two groups the
     likeliest pair, and where that is no link all others of the two. In a crowd a set
-has more neighbours than are looked at; what links of different groups are left
-there share an element of their prefixes, and of those pairs all are tried."""
+    has more neighbours than are looked at; what links of different groups are left
+    there share an element of their prefixes, and all that may be one are tried."""
 
-    def shingles_of(nodes: DataFrame, name: str) -> DataFrame:
+    def read(nodes: DataFrame, name: str) -> DataFrame:
         wanted = space.write(sets.select("node", "body").join(nodes, "node", "left_semi"), f"wanted-{name}")
         texts = docs.join(small_side(wanted, 16), "body").select("node", "text").dropDuplicates(["node"])
         return space.write(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>"), f"shingles-{name}")
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-        n = F.size(F.array_intersect("x", "y"))
-        return found.select(*pairs.columns, (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
-
+    shingles = Shingles(read)
     alone = sets.withColumn("root", F.col("node"))
-    pairs = space.write(candidates(alone, space, "chain", CHAIN_TREES, 1).select("a", "b"), "pairs-1")
-    held = shingles_of(ends(pairs), "1")
-    done = space.write(linked(pairs), "round-1")
+    pairs = space.write(candidates(alone, space, "chain", CHAIN_TREES, 1, similarity).select("a", "b"), "pairs-1")
+    done = space.write(shingles.confirm(pairs, similarity), "round-1")
     roots = space.write(components(done.where("linked"), space, "forest-1"), "roots-1")
     rooted = sets.join(small_side(roots, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = (F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
-    pairs = candidates(rooted, space, "forest", TREES, near).select("a", "b", "bits", *groups)
+    pairs = candidates(rooted, space, "forest", TREES, near, similarity).select("a", "b", "bits", *groups)
     pairs = space.write(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs-2")
-    held = held.unionByName(shingles_of(ends(pairs).join(held.select("node"), "node", "left_anti"), "2"))
     # Of equal pairs a hash chooses, so that no set is everyone's partner.
     likeliest = F.max_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("p")
-    first = space.write(linked(pairs.groupBy("r", "s").agg(likeliest).select("r", "s", "p.a", "p.b")), "round-2")
+    first = space.write(pairs.groupBy("r", "s").agg(likeliest).select("r", "s", "p.a", "p.b"), "first")
+    first = space.write(shingles.confirm(first, similarity), "round-2")
     rest = pairs.select("a", "b", "r", "s").join(first.where("not linked").select("r", "s", F.col("a").alias("tried"), F.col("b").alias("with")), ["r", "s"]).where("a <> tried or b <> with")
-    more = space.write(linked(rest.select("a", "b")), "round-3")
+    more = space.write(shingles.confirm(space.write(rest.select("a", "b"), "others"), similarity), "round-3")
     tried = done.unionByName(first.select("a", "b", "linked")).unionByName(more)
     roots = space.write(components(tried.where("linked"), space, "forest-2"), "roots-2")
     crowd = sets.join(small_side(space.write(crowded(sets, near), "crowded"), 8), "node", "left_semi")
-    rest = space.write(pairs_across(crowd, roots, space, "rest", similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs-3")
-    if rest.isEmpty():
-        return roots
-    held = held.unionByName(shingles_of(ends(rest).distinct().join(held.select("node"), "node", "left_anti"), "3"))
-    last = space.write(linked(rest), "round-4")
-    return space.write(components(tried.unionByName(last).where("linked"), space, "forest-3"), "roots-3")
+    return join_rest(crowd, roots, tried, shingles, space, similarity)
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, similarity: float = SIMILARITY) -> DataFrame:
