@@ -191,3 +191,17 @@ def test_one_of_each_against_an_exact_join(spark, space_of):
     want = {i for i in rows if find(i) == i} - set(wordless[1:])
     got = {r.doc_id for r in simhash.one_of_each(docs, space_of("exact")).collect()}
     assert got == want and len(want) < len(rows) - 50
+
+
+def test_links_of_a_crowd_in_the_stage(spark, space_of):
+    """Copies similar to one text and not to each other: under a shared block none need meet that text first, or as a neighbour."""
+    dice = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    rows = [" ".join(base)]
+    for k in range(300):
+        copy = list(base)
+        for i in np.sort(dice.choice(40, 4, replace=False)):  # 180 of 220 shared with the first, of two copies 160 to 180 of 240
+            copy[5 * i + 4] = f"x{k}"
+        rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in simhash.one_of_each(docs, space_of("crowd")).collect()] == [0]
