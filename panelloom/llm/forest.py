@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import Workspace, release, small_side, spread
 from panelloom.llm.graph import components
-from panelloom.llm.jaccard import WORDS, Shingles, join_rest, parities, possible, prefix
+from panelloom.llm.jaccard import SHINGLE_ROWS, WORDS, Shingles, join_rest, parities, possible, prefix, shingle_batch
 from panelloom.llm.simhash import scramble, shingle_hashes
 
 SHINGLE_WORDS, SIMILARITY = 4, 0.8
@@ -103,8 +103,8 @@ def _sign(similarity: float):
 
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_hashes(t.as_py(), SHINGLE_WORDS).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        sets = [shingle_hashes(t.as_py(), SHINGLE_WORDS) for t in batch.column(1)]
+        yield shingle_batch(batch.column(0), sets)
 
 
 #: Words of the parities that travel along: those of a set, folded.
@@ -203,9 +203,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, space: Workspace, similarity:
     def read(nodes: DataFrame, name: str) -> DataFrame:
         wanted = space.write(sets.select("node", "body").join(nodes, "node", "left_semi"), f"wanted-{name}")
         texts = docs.join(small_side(wanted, 16), "body").select("node", "text").dropDuplicates(["node"])
-        return space.write(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>"), f"shingles-{name}")
+        return space.write(texts.mapInArrow(_shingle_sets, SHINGLE_ROWS), f"shingles-{name}")
 
-    shingles = Shingles(read)
+    shingles = Shingles(read, space)
     alone = sets.withColumn("root", F.col("node"))
     pairs = space.write(candidates(alone, space, "chain", CHAIN_TREES, 1, similarity).select("a", "b"), "pairs-1")
     done = space.write(shingles.confirm(pairs, similarity), "round-1")

@@ -11,11 +11,11 @@ of the full sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import Workspace
@@ -42,6 +42,38 @@ def parities(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
+def wide_parities(elements: np.ndarray) -> np.ndarray:
+    """Parities in as many buckets as a set has elements, or up to twice as many: they tell large sets apart, too.
+
+    The words are a power of two. Half as many are those of the halves XORed."""
+    words = 1 << max(0, ceil(log2(max(len(elements), 1) / 64)))
+    odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def may_link(n: Column, m: Column, p: Column, q: Column, similarity: float) -> Column:
+    """Do the sizes and the wide parities of two sets let them be similar enough?"""
+    words = F.least(F.size(p), F.size(q))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+    far = F.aggregate(F.zip_with(folded(p), folded(q), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    near = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    return F.when(near, far <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6).otherwise(F.lit(False))
+
+
+def shingle_batch(names: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (node, shingles, n, odd) of sets of shingle hashes, as ``Shingles`` reads them."""
+    longs = pa.list_(pa.int64())
+    columns = [pa.array([x.view(np.int64) for x in sets], longs), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(wide_parities, sets)), longs)]
+    return pa.RecordBatch.from_arrays([names, *columns], ["node", "shingles", "n", "odd"])
+
+
+#: Columns of shingle_batch.
+SHINGLE_ROWS = "node long, shingles array<long>, n long, odd array<long>"
+
+
 def possible(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     far = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64)
     return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (far <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6)
@@ -159,22 +191,30 @@ def pairs_across(shared: DataFrame, sets: DataFrame, similarity: float, nearest:
 
 
 class Shingles:
-    """Shingle sets of the nodes that pairs need, each read once; ``read`` gives (node, shingles) of a table of nodes."""
+    """Shingle sets of the nodes that pairs need, each read once; ``read`` gives (node, shingles, n, odd) of a table of nodes."""
 
-    def __init__(self, read: Callable[[DataFrame, str], DataFrame]):
-        self.read, self.held, self.reads = read, None, 0
+    def __init__(self, read: Callable[[DataFrame, str], DataFrame], space: Workspace):
+        self.read, self.space, self.held, self.reads = read, space, None, 0
 
     def confirm(self, pairs: DataFrame, similarity: float) -> DataFrame:
-        """The written pairs(a, b, ...) with ``linked``: is the Jaccard similarity of the full sets high enough?"""
+        """The written pairs(a, b, ...) with ``linked``: is the Jaccard similarity of the full sets high enough?
+
+        Sizes and wide parities, an element in 64 of the sets, rule most others out
+        first, so that full sets go to few pairs beyond the links."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if self.held is not None:
             nodes = nodes.join(self.held.select("node"), "node", "left_anti")
         self.reads += 1
         more = self.read(nodes, str(self.reads))
         self.held = more if self.held is None else self.held.unionByName(more)
-        found = pairs.join(self.held.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(self.held.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+        narrow = self.held.drop("shingles")
+        both = pairs.join(narrow.withColumnsRenamed({"node": "a", "n": "_n", "odd": "_p"}), "a").join(narrow.withColumnsRenamed({"node": "b", "n": "_m", "odd": "_q"}), "b")
+        told = self.space.write(both.select(*pairs.columns, may_link(*map(F.col, ("_n", "_m", "_p", "_q")), similarity).alias("maybe")), f"told-{self.reads}")
+        full = self.held.select("node", "shingles")
+        found = told.where("maybe").drop("maybe").join(full.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         n = F.size(F.array_intersect("x", "y"))
-        return found.select(*pairs.columns, (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
+        found = found.select(*pairs.columns, (100 * n >= round(100 * similarity) * (F.size("x") + F.size("y") - n)).alias("linked"))
+        return found.unionByName(told.where("not maybe").select(*pairs.columns, F.lit(False).alias("linked")))
 
 
 def join_rest(sets: DataFrame, roots: DataFrame, tried: DataFrame, shingles: Shingles, space: Workspace, similarity: float) -> DataFrame:

@@ -30,6 +30,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Cuts that a worker keeps, of up to so many characters.
 CACHE_CUTS, KEPT_CUT = 200_000, 48
+#: New cuts from which they are segmented in lockstep, and the cuts of texts that are looked through together.
+LOCKSTEP, TOGETHER = 64, 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -199,11 +201,103 @@ class UnigramPieces:
             end = at
         return out[::-1]
 
+    def viterbi_many(self, cuts: list[str]) -> list[bytes]:
+        """Ids of the best sequence of each cut, as ``viterbi`` finds them, in lockstep: all cuts
+        go on by a byte at a time, so that a step is a few array operations. For vocabularies with byte pieces."""
+        if not hasattr(self, "arrays"):
+            self.arrays = tuple(np.array(x, dtype=np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores), np.array([self.byte_id.get(b, self.unk) for b in range(256)], dtype="<u4")
+        (base, check, value), scores, byte_id = self.arrays
+        coded = [c.encode("utf-8", "replace") for c in cuts]
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        order = np.argsort(-size, kind="stable")  # the longest first: those that reach a byte are a beginning
+        size, wide = size[order], int(size.max()) + 1
+        data = np.zeros((len(cuts), wide), dtype=np.int64)
+        data[np.arange(wide) < size[:, None]] = np.frombuffer(b"".join([coded[k] for k in order.tolist()]), np.uint8)
+        best = np.full(data.shape, -1e300)
+        best[:, 0] = 0.0
+        back, piece_of = np.full(data.shape, -1), np.full(data.shape, -1)
+        for at in range(wide - 1):
+            row = np.arange(np.searchsorted(-size, -at, side="left"))
+            lead = data[row, at]
+            row = row[lead >> 6 != 2]  # characters begin here
+            lead = data[row, at]
+            after = at + np.where(lead < 128, 1, np.where(lead < 224, 2, np.where(lead < 240, 3, 4)))
+            score, single = best[row, at], np.zeros(len(row), dtype=bool)
+            live, slot, end = np.arange(len(row)), np.zeros(len(row), dtype=np.int64), at
+            while len(live):  # down the trie along the texts
+                inside = end < size[row[live]]
+                live, slot = live[inside], slot[inside]
+                if not len(live):
+                    break
+                to = base[slot] + data[row[live], end] + 1
+                fits = check[to] == slot
+                live, slot, end = live[fits], to[fits], end + 1
+                ends = np.flatnonzero(value[slot] >= 0)
+                of, piece = live[ends], value[slot[ends]]
+                single[of[after[of] == end]] = True
+                new = score[of] + scores[piece]
+                better = new > best[row[of], end]
+                of, piece = of[better], piece[better]
+                best[row[of], end], back[row[of], end], piece_of[row[of], end] = new[better], at, piece
+            of = np.flatnonzero(~single)
+            of = of[score[of] + self.unk_score > best[row[of], after[of]]]
+            best[row[of], after[of]], back[row[of], after[of]], piece_of[row[of], after[of]] = score[of] + self.unk_score, at, -1
+        rows, begins, ends, pieces = [], [], [], []
+        row, end = np.arange(len(cuts)), size
+        while len(row):
+            at = back[row, end]
+            rows.append(row)
+            begins.append(at)
+            ends.append(end)
+            pieces.append(piece_of[row, end])
+            row, end = row[at > 0], at[at > 0]
+        row, begin, end, piece = (np.concatenate(x) for x in (rows, begins, ends, pieces))
+        by = np.lexsort((begin, row))
+        row, begin, end, piece = row[by], begin[by], end[by], piece[by]
+        n = np.where(piece < 0, end - begin, 1)
+        ids = np.repeat(piece, n)
+        unknown = np.flatnonzero(ids < 0)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        ids[unknown] = byte_id[data[np.repeat(row, n)[unknown], place[unknown]]]
+        raw = ids.astype("<u4").tobytes()
+        stop = 4 * np.cumsum(np.bincount(np.repeat(row, n), minlength=len(cuts)))
+        out = [b""] * len(cuts)
+        for k, a, b in zip(order.tolist(), [0, *stop[:-1].tolist()], stop.tolist(), strict=True):
+            out[k] = raw[a:b]
+        return out
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        """Segment the cuts that are not known yet, together."""
+        new = list({c for x in cuts for c in x if c not in self.seen and len(c) <= KEPT_CUT})
+        if len(new) < LOCKSTEP:
+            return  # one by one, as they come
+        if len(self.seen) + len(new) > self.limit:
+            self.seen.clear()
+            new = list({c for x in cuts for c in x if len(c) <= KEPT_CUT})[: self.limit]
+        self.seen.update(zip(new, self.viterbi_many(new), strict=True))
+
+    def cuts_of(self, text: str | None) -> list[str]:
+        text = self.normalise(text or "")
+        return self.cut(text) if self.cuttable else [text] * bool(text)  # without byte pieces a run of unknown characters could span a cut
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        text = self.normalise(text or "")
-        cuts = self.cut(text) if self.cuttable else [text] * bool(text)  # without byte pieces a run of unknown characters could span a cut
-        return b"".join(map(self.seen.__getitem__, cuts))
+        return b"".join(map(self.seen.__getitem__, self.cuts_of(text)))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode``, the new cuts of many texts at once."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            held.append(self.cuts_of(text))
+            size += len(held[-1])
+            if k == len(texts) - 1 or size >= TOGETHER:
+                if self.cuttable:
+                    self.learn(held)
+                out += [b"".join(map(self.seen.__getitem__, x)) for x in held]
+                held, size = [], 0
+        return out
 
     def decode(self, ids: bytes | list[int]) -> str:
         """Text of the ids: markers to spaces, byte pieces to their bytes, the dummy marker dropped."""
@@ -262,7 +356,7 @@ def piece_table(docs: DataFrame, model: str, keep: tuple[str, ...] = (), with_id
         byte_piece[list(codec.byte_id.values())] = True
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode_many(texts)
             arrays = [np.frombuffer(x, "<u4") for x in ids]
             columns = [
                 batch.column(0),

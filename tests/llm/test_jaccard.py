@@ -46,3 +46,23 @@ def test_no_link_between_roots_is_ruled_out(many, monkeypatch):
     _, of, members = np.unique(root, return_inverse=True, return_counts=True)
     asking = {i for p in every for i in p if not many or of[i] != members.argmax()}
     assert asking <= {i for p in near for i in p}
+
+
+def test_wide_parities_rule_out_large_sets_but_no_link(spark, space_of):
+    from pyspark.sql import functions as F
+
+    dice = np.random.default_rng(5)
+    base = dice.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[gone:], dice.integers(0, 1 << 63, new, dtype=np.uint64)])) for gone, new in ((0, 0), (444, 0), (0, 1000), (400, 300), (445, 444), (801, 0), (0, 1001))]
+    sets += [dice.integers(0, 1 << 63, k, dtype=np.uint64) for k in (4000, 4097, 5000)] + [base[:1], base[:2], base[:60], base[:75]]
+    rows = [(k, [int(y) for y in x.view(np.int64)], len(x), [int(y) for y in jaccard.wide_parities(x)]) for k, x in enumerate(sets)]
+    made = spark.createDataFrame(rows, jaccard.SHINGLE_ROWS)
+    space = space_of("wide")
+    reader = jaccard.Shingles(lambda nodes, name: space.write(made.join(nodes, "node", "left_semi"), f"read-{name}"), space)
+    pairs = space.write(spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))], "a long, b long"), "pairs")
+    done = reader.confirm(pairs, 0.8).collect()
+    assert len(done) == pairs.count()
+    assert {(r.a, r.b): r.linked for r in done} == {(r.a, r.b): linked(sets, r.a, r.b) for r in done}
+    # full sets go to few pairs beyond the links
+    maybe = space.read("told-1").where("maybe").select("a", "b")
+    assert not maybe.where(F.col("a").isin(7, 8, 9) | F.col("b").isin(7, 8, 9)).count()
