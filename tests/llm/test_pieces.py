@@ -103,3 +103,23 @@ def test_table(edge_docs, no_docs):
     assert all(r.round_trip for r in rows if r.doc_id != 4 or True) is True
     assert {r.n_pieces for r in rows if r.doc_id == 1} == {0}
     assert pieces.piece_table(no_docs, PATH).count() == 0
+
+
+def test_lockstep_equals_one_by_one(codec, monkeypatch):
+    dice = random.Random(7)
+    letters = "abc de\n日本語ßéİ😀\x00▁zq'"
+    cuts = ["".join(dice.choices(letters, k=dice.randint(1, 40))) for _ in range(3000)] + ["\ud800x", "a" * 48, "😀" * 48, "é", "the", "▁the"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.viterbi_many(cuts)] == [codec.viterbi(x) for x in cuts]
+    texts = [None, "", " ", *(" ".join(dice.choices(cuts, k=30)) for _ in range(200)), "x" * 500, "one\n\ntwo"]
+    want = [codec.encode(t) for t in texts]
+    fresh = pieces.UnigramPieces(open(PATH, "rb").read(), cache=300)
+    asked = []
+    monkeypatch.setattr(fresh, "viterbi", lambda cut: asked.append(cut) or codec.viterbi(cut))
+    monkeypatch.setattr(pieces, "TOGETHER", 700)
+    assert fresh.encode_many(texts) == want and len(fresh.seen) <= 300
+    asked.clear()
+    whole = pieces.UnigramPieces(open(PATH, "rb").read())
+    monkeypatch.setattr(whole, "viterbi", lambda cut: asked.append(cut) or codec.viterbi(cut))
+    monkeypatch.setattr(pieces, "TOGETHER", 1 << 18)
+    assert whole.encode_many(texts) == want
+    assert all(len(x) > pieces.KEPT_CUT for x in asked)  # all short cuts were segmented together
